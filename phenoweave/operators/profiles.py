@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from phenoweave.functions.names import PERSON, base_field, code_part, is_categorical
 from phenoweave.operators.setops import bag_union
 from phenoweave.operators.sizing import measured
-from phenoweave.operators.statistics import rank_counts
+from phenoweave.session import cut_lineage
 
 TOP_N = 10  # fixed value of the profile lists
 # Categories whose items are named by their code alone.
@@ -18,52 +18,62 @@ def with_label(tall: DataFrame, labels: DataFrame) -> DataFrame:
     return tall.join(labels.select(PERSON, "label"), PERSON)
 
 
-def _fielded(labelled: DataFrame, fields: DataFrame) -> DataFrame:
-    """Rows of known fields with the field's category and type attached."""
-    known = measured(fields.select("field", F.col("category").alias("group"), "categorical").distinct())
-    return labelled.withColumn("field", base_field("featureName")).join(known, "field")
+def cluster_summary(tall: DataFrame, labels: DataFrame, fields: DataFrame) -> DataFrame:
+    """One pass over the rows: ``label, group, kind, item, rows, mean``.
 
-
-def _listed(ranked: DataFrame, item: str, category) -> DataFrame:
-    """Ranked rows as one ordered list per cluster; a list holds at most ``TOP_N`` items."""
+    ``kind`` is ``code`` (item is the code), ``categorical`` or ``numeric``
+    (item is the feature's name). Every list of the profile reads off this
+    table, whose size is clusters times vocabulary.
+    """
+    kind = (
+        F.when(F.col("category").isin(*CODED), F.lit("code"))
+        .when(F.col("categorical"), F.lit("categorical"))
+        .otherwise(F.lit("numeric"))
+    )
+    known = measured(fields.select("field", F.col("category").alias("group"), kind.alias("kind")).distinct())
+    item = F.when(F.col("kind") == "code", code_part("featureName")).otherwise(F.col("featureName"))
+    rows = (
+        tall.select(PERSON, "featureName", "featureValue", base_field("featureName").alias("field"))
+        .join(known, "field")
+        .where((F.col("kind") != "numeric") | (F.col("featureName") == F.col("field")))
+        .select(PERSON, "group", "kind", item.alias("item"), "featureValue")
+    )
     return (
-        ranked.groupBy("label", "group")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", item))).alias("r"))
-        .select("label", category.alias("category"), F.transform("r", lambda x: x[item]).alias("items"))
+        with_label(rows, labels)
+        .groupBy("label", "group", "kind", "item")
+        .agg(F.count("*").alias("rows"), F.avg("featureValue").alias("mean"))
     )
 
 
-def _ranked(rows: DataFrame, item: str, n: int) -> DataFrame:
-    counts = rows.groupBy("label", "group", item).agg(F.count("*").alias("rows"))
-    return rank_counts(
-        counts.select(F.struct("label", "group").alias("in"), F.col(item).alias("featureName"), "rows"), "in", n
-    ).select("in.label", "in.group", F.col("featureName").alias(item), "rows", "rank")
+def _ranked(summary: DataFrame, kind: str, n: int) -> DataFrame:
+    order = Window.partitionBy("label", "group").orderBy(F.desc("rows"), "item")
+    return (
+        summary.where(F.col("kind") == kind)
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= n)
+        .select("label", "group", "item", "rows", "rank")
+    )
 
 
 def top_codes(tall: DataFrame, labels: DataFrame, fields: DataFrame, n: int = TOP_N) -> DataFrame:
     """Most frequent codes of each cluster and coded category by row count: ``label, group, code, rows, rank``."""
-    rows = _fielded(with_label(tall, labels), fields.where(F.col("category").isin(*CODED)))
-    return _ranked(rows.withColumn("code", code_part("featureName")), "code", n)
+    return _ranked(cluster_summary(tall, labels, fields), "code", n).withColumnRenamed("item", "code")
 
 
 def top_categorical(tall: DataFrame, labels: DataFrame, fields: DataFrame, n: int = TOP_N) -> DataFrame:
     """Most frequent categorical features of each cluster in the other categories, by full name."""
-    rows = _fielded(
-        with_label(tall, labels), fields.where(F.col("categorical") & ~F.col("category").isin(*CODED))
+    return _ranked(cluster_summary(tall, labels, fields), "categorical", n).withColumnRenamed("item", "featureName")
+
+
+def _means(summary: DataFrame) -> DataFrame:
+    return summary.where(F.col("kind") == "numeric").select(
+        "label", "group", F.col("item").alias("featureName"), "mean"
     )
-    return _ranked(rows, "featureName", n)
 
 
 def numeric_means(tall: DataFrame, labels: DataFrame, fields: DataFrame) -> DataFrame:
     """Mean of each numeric feature per cluster: ``label, group, featureName, mean``."""
-    rows = _fielded(
-        with_label(tall, labels), fields.where(~F.col("categorical") & ~F.col("category").isin(*CODED))
-    ).where(F.col("featureName") == F.col("field"))
-    return rows.groupBy("label", "group", "featureName").agg(F.avg("featureValue").alias("mean"))
-
-
-def rendered(value, digits: int | None = None):
-    return (F.round(value, digits) if digits is not None else value).cast("string")
+    return _means(cluster_summary(tall, labels, fields))
 
 
 def cluster_profile(
@@ -74,24 +84,27 @@ def cluster_profile(
     ``fields`` are rows ``category, field, categorical``. Items are codes,
     feature names or ``name:mean``, the mean rounded to ``digits`` if given.
     """
-    means = numeric_means(tall, labels, fields).select(
-        "label",
-        F.concat("group", F.lit("(Non-Categorical)")).alias("category"),
-        F.concat_ws(":", "featureName", rendered(F.col("mean"), digits)).alias("item"),
-    )
-    parts = bag_union(
-        _listed(top_codes(tall, labels, fields, n), "code", F.col("group")),
-        _listed(
-            top_categorical(tall, labels, fields, n),
-            "featureName",
-            F.concat("group", F.lit("(Categorical)")),
+    summary = cut_lineage(cluster_summary(tall, labels, fields))
+    mean = F.col("mean") if digits is None else F.round("mean", digits)
+    listed = bag_union(
+        _ranked(summary, "code", n).select("label", F.col("group").alias("category"), "rank", "item"),
+        _ranked(summary, "categorical", n).select(
+            "label", F.concat("group", F.lit("(Categorical)")).alias("category"), "rank", "item"
+        ),
+        _means(summary).select(
+            "label",
+            F.concat("group", F.lit("(Non-Categorical)")).alias("category"),
+            F.lit(0).alias("rank"),
+            F.concat_ws(":", "featureName", mean.cast("string")).alias("item"),
         ),
-        # one item per numeric field
-        means.groupBy("label", "category").agg(F.array_sort(F.collect_list("item")).alias("items")),
     )
-    # nine parts per cluster at most
-    return parts.groupBy("label").agg(
-        F.array_sort(F.collect_list(F.struct("category", "items"))).alias("profile")
+    # A list holds at most n items, or one per numeric field; a cluster has nine lists at most.
+    return (
+        listed.groupBy("label", "category")
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("r"))
+        .select("label", "category", F.transform("r", lambda x: x["item"]).alias("items"))
+        .groupBy("label")
+        .agg(F.array_sort(F.collect_list(F.struct("category", "items"))).alias("profile"))
     )
 
 
