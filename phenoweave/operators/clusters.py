@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from phenoweave.functions.names import PERSON
+from phenoweave.operators.svd import pca_entries
 
 DEFAULT_K = 4
 SWEEP = range(2, 21, 2)
@@ -46,10 +47,17 @@ def error_by_k(vectors: DataFrame, ks: Iterable[int] = SWEEP, seed: int = 1) ->
 
 
 def pca_project(vectors: DataFrame, labels: DataFrame, k: int = 2) -> DataFrame:
-    """Vectors times the leading principal components, not centred: ``eid, x, y, cluster``."""
-    width = vectors.select(F.max(F.size(vector_to_array("features")))).first()[0]
+    """Vectors times the leading principal components, not centred: ``eid, x, y, cluster``.
+
+    Where the covariance is too large for one machine, the components come
+    from passes over the non-zero entries instead.
+    """
+    width = vectors.select(F.size(vector_to_array("features"))).first()[0]
     if width * (width + 1) * 4 > PCA_COVARIANCE_BYTES:
-        raise ValueError("too many features for a covariance on the driver: use svd.pca_entries")
+        entries = vectors.select(
+            PERSON, F.posexplode(vector_to_array("features")).alias("featureName", "value")
+        ).where("value != 0")
+        return pca_entries(entries, labels, k)
     model = PCA(k=k, inputCol="features", outputCol="p").fit(vectors)
     p = vector_to_array("p")
     return (

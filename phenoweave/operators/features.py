@@ -15,7 +15,7 @@ from phenoweave.functions.names import PERSON
 from phenoweave.operators.numbering import number_rows
 from phenoweave.operators.setops import bag_union
 from phenoweave.operators.sizing import measured
-from phenoweave.session import ensure_checkpoint_dir
+from phenoweave.session import cut_lineage, ensure_checkpoint_dir
 
 # Fixed values.
 TOP_MEDICATIONS = 500
@@ -115,6 +115,7 @@ def selected_features(entries: DataFrame, p: float = VARIANCE_SHARE) -> DataFram
 
 def variance_select(entries: DataFrame, p: float = VARIANCE_SHARE) -> DataFrame:
     """The matrix without its near-constant columns; entries keep their names."""
+    entries = cut_lineage(entries)  # read three times from here
     kept = measured(selected_features(entries, p).select("featureName"))
     return entries.join(kept, "featureName", "left_semi").select(*entries.columns)
 

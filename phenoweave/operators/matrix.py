@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
@@ -84,13 +85,36 @@ def column_products(m: Matrix, w: DataFrame, width: int, column: str = "w") -> D
     return joined.groupBy("featureName").agg(weighted_sums("value", column, width).alias("s"))
 
 
+# Up to this width a Gram matrix is plain sums; beyond, one expression per
+# product gets slower to compile than to run, and partitions multiply in numpy.
+PLAIN_GRAM_WIDTH = 12
+
+
+def _partial_grams(frames):
+    total = None
+    for frame in frames:
+        if len(frame):
+            x = np.stack(frame.iloc[:, 0].to_numpy())
+            total = x.T @ x if total is None else total + x.T @ x
+    if total is not None:
+        yield pd.DataFrame({"g": [total.ravel().tolist()]})
+
+
 def gram(narrow: DataFrame, column: str, width: int, block: int | None = None) -> np.ndarray:
-    """``XᵀX`` of a narrow matrix, one aggregation of ``width²/2`` sums.
+    """``XᵀX`` of a narrow matrix: ``width²`` sums, combined per partition first.
 
     With ``block``, only products inside blocks of that many columns are taken;
-    the rest stays zero.
+    the rest is zero.
     """
     block = block or width
+    if width > PLAIN_GRAM_WIDTH:
+        partial = narrow.select(column).mapInPandas(_partial_grams, "g array<double>")
+        cells = partial.select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("g")).collect()
+        full = np.zeros(width * width)
+        for cell in cells:
+            full[cell["pos"]] = cell["g"]
+        groups = np.arange(width) // block
+        return full.reshape(width, width) * np.equal.outer(groups, groups)
     pairs = [(i, j) for i in range(width) for j in range(i, width) if i // block == j // block]
     products = ", ".join(f"sum({column}[{i}] * {column}[{j}])" for i, j in pairs)
     sums = narrow.selectExpr(f"array({products}) AS g").first()["g"]

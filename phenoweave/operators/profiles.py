@@ -129,7 +129,7 @@ def cluster_percentages(
     percentFeatureInCluster, percentFeatureInPop``.
     """
     # One row per person and feature first: the distinct counts below then are plain counts.
-    holders = with_label(tall, labels).select(PERSON, "label", "featureName").distinct()
+    holders = cut_lineage(with_label(tall, labels).select(PERSON, "label", "featureName").distinct())
     in_cluster = measured(holders.groupBy("label", "featureName").agg(F.count("*").alias("held")))
     in_population = in_cluster.groupBy("featureName").agg(F.sum("held").alias("held_all"))
     sizes = holders.select(PERSON, "label").distinct().groupBy("label").agg(F.count("*").alias("persons"))

@@ -30,7 +30,7 @@ def measured(df: DataFrame, row_bytes: int = 100) -> DataFrame:
     return sized(kept, kept.count(), row_bytes)
 
 
-def partitions_for(spark: SparkSession, rows: int, small: int = 250_000, large: int = 4_000_000) -> int:
+def partitions_for(spark: SparkSession, rows: int, small: int = 50_000, large: int = 4_000_000) -> int:
     """Partitions for an iterated table: few for little data, enough for all
     cores, and never more than ``large`` rows in one."""
     cores = spark.sparkContext.defaultParallelism

@@ -623,7 +623,7 @@ def phenotypes(spark, d):
     labels = nmf.assign(factors)
     strong = components.strong_features(nmf.component_weights(factors), 0.5)
     decode = roles.meanings(spark, d).where(F.col("field") == "brand")
-    persons = entries.agg(F.countDistinct("eid")).first()[0]
+    persons = factors.w.count()
     brands = coded.where(F.col("category") == "CANCER")
     return rounded(
         profiles.cluster_percentages(brands, labels, strong, decode, persons),
