@@ -34,6 +34,7 @@ class Matrix:
     entries: DataFrame
     nonzeros: int
     features: int
+    squares: float  # sum of squared values
 
     @property
     def spark(self):
@@ -52,7 +53,9 @@ def hold(entries: DataFrame) -> Matrix:
         .sortWithinPartitions(PERSON)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    return Matrix(laid, nonzeros, features)
+    # This pass fills the memory; only then do plans see how the entries are laid out.
+    squares = laid.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
+    return Matrix(laid, nonzeros, features, squares)
 
 
 def local_products(m: Matrix, width: int) -> bool:

@@ -119,10 +119,6 @@ def _update(column: str, method: str, g: np.ndarray, k: int, runs: int, l1: floa
     return F.expr(f"concat({', '.join(parts)})" if runs > 1 else parts[0])
 
 
-def _total_squares(m: Matrix) -> float:
-    return m.entries.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
-
-
 def _half_squared_errors(
     total: float, h: DataFrame, g_w: np.ndarray, g_h: np.ndarray, k: int, runs: int
 ) -> list[float]:
@@ -173,7 +169,6 @@ def factorize_held(
     )
     local = local_products(m, width)
     w, h = cut_lineage(w, keep_layout=local), cut_lineage(h)
-    total = _total_squares(m)
     g_h = gram(h, "h", width, k)
     errors: list[list[float]] = []
     for _ in range(max_iter):
@@ -199,7 +194,7 @@ def factorize_held(
         )
         h = cut_lineage(renewed.select("featureName", "h", inner.alias("inner")))
         g_h = gram(h, "h", width, k)
-        errors.append(_half_squared_errors(total, h, g_w, g_h, k, runs))
+        errors.append(_half_squared_errors(m.squares, h, g_w, g_h, k, runs))
         if max(errors[-1]) <= tol:
             break
         if relative_stop is not None and len(errors) > 1:

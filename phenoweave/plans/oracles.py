@@ -148,8 +148,15 @@ def _r(column: str, name: str | None = None, digits: int = 6) -> str:
 # Factorization unrolled: one materialized CTE per half-step.
 
 
-def _factor_ctes(method: str = "multiplicative", l1: float = 0.0, l2: float = 0.0) -> str:
-    ks = range(K)
+def _factor_ctes(
+    method: str = "multiplicative",
+    l1: float = 0.0,
+    l2: float = 0.0,
+    k: int = K,
+    iterations: int = ITERATIONS,
+    source: str = "quantities",
+) -> str:
+    ks = range(k)
     w0 = ", ".join(f"((CAST(eid AS BIGINT) * 7 + {t} * 13) % 97 + 1) / 98.0::DOUBLE AS w{t}" for t in ks)
     h0 = ", ".join(
         f"((ascii(right(\"featureName\", 1)) * 31 + length(\"featureName\") * 17 + {t + 1} * 29) % 89 + 1)"
@@ -157,7 +164,7 @@ def _factor_ctes(method: str = "multiplicative", l1: float = 0.0, l2: float = 0.
         for t in ks
     )
     out = [
-        "v AS MATERIALIZED (SELECT eid, \"featureName\" AS f, value FROM quantities)",
+        f"v AS MATERIALIZED (SELECT eid, \"featureName\" AS f, value FROM {source})",
         f"w_0 AS MATERIALIZED (SELECT eid, {w0} FROM (SELECT DISTINCT eid FROM v))",
         f"h_0 AS MATERIALIZED (SELECT f, {h0.replace('\"featureName\"', 'f')} FROM (SELECT DISTINCT f FROM v))",
     ]
@@ -183,7 +190,7 @@ def _factor_ctes(method: str = "multiplicative", l1: float = 0.0, l2: float = 0.
             f"FROM {factor} x JOIN {products} y ON x.{key} = y.{key}, {g}))"
         )
 
-    for i in range(1, ITERATIONS + 1):
+    for i in range(1, iterations + 1):
         p_w = ", ".join(f"sum(value * h{t}) AS p{t}" for t in ks)
         p_h = ", ".join(f"sum(value * w{t}) AS p{t}" for t in ks)
         out += [
@@ -198,7 +205,7 @@ def _factor_ctes(method: str = "multiplicative", l1: float = 0.0, l2: float = 0.
 
 
 def _factors(**options) -> str:
-    return _with(CODED) .rstrip() + ", " + _factor_ctes(**options) + " "
+    return _with(CODED).rstrip() + ", " + _factor_ctes(**options) + " "
 
 
 LAST_W, LAST_H = f"w_{ITERATIONS}", f"h_{ITERATIONS}"
@@ -486,6 +493,20 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT alpha, "
         + ", ".join(f"round(max(n) FILTER (WHERE l1_ratio = {r}), 6) AS l1_{i}" for i, r in enumerate((0.0, 0.5, 1.0)))
         + " FROM grid WHERE k = 1 GROUP BY alpha",
+        "phenotypes": _with(
+            CODED,
+            variances.format(t="entries"),
+            'chosen AS (SELECT e.* FROM entries e JOIN var USING ("featureName") WHERE variance > 0.99 * (1 - 0.99))',
+            _factor_ctes(k=4, iterations=5, source="chosen"),
+            'strongest AS (SELECT eid, greatest(w0, w1, w2, w3) AS top, w0, w1, w2 FROM w_5)',
+            "labels AS (SELECT eid, CASE WHEN w0 = top THEN 0 WHEN w1 = top THEN 1 WHEN w2 = top THEN 2 ELSE 3 END AS label FROM strongest)",
+            "brands AS (SELECT * FROM coded WHERE category = 'CANCER')",
+            "selected AS ("
+            + " UNION ALL ".join(f'SELECT {t} AS label, f AS "featureName" FROM h_5 WHERE h{t} > 0.5' for t in range(4))
+            + ")",
+            PERCENT.replace("FROM bought", "FROM chosen"),
+        )
+        + f"SELECT meaning, label, {_r('c', 'percentFeatureInCluster')}, {_r('p', 'percentFeatureInPop')} FROM shares",
         "best_brand": _with(CODED)
         + 'SELECT "featureName", sum(value) AS frequency FROM entries WHERE "featureName" LIKE \'brand=%\' GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 1',
     }

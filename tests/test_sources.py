@@ -83,6 +83,19 @@ def test_tall_files_round_trip(spark, tmp_path, rows):
     assert rows(delimited.load_table(spark, str(tmp_path / "r"), "r")) == [("1", "A"), ("2", "B")]
 
 
+def test_bucketed_table_joins_without_shuffling_rows(spark, tmp_path):
+    data = spark.range(100).selectExpr(
+        "cast(id % 10 AS string) AS eid", "'a' AS featureName", "1D AS featureValue", "'A' AS category"
+    )
+    tall.write_tall_table(data, "bucketed_tall", str(tmp_path / "b"), 4)
+    labels = data.select("eid").distinct().repartition(4, "eid").hint("merge")
+    joined = spark.table("bucketed_tall").hint("merge").join(labels, "eid")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    scan = plan[: plan.index("bucketed_tall")]
+    assert joined.count() == 100
+    assert "Exchange" not in scan.split("SortMergeJoin")[1]
+
+
 def test_stage_builds_once(spark, tmp_path):
     calls = []
 
