@@ -384,6 +384,14 @@ def oracle_sql() -> dict[str, str]:
         "hierarchy_levels": tree("SELECT node_id, depth, ancestor FROM level"),
         "stage_roundtrip": base
         + f'SELECT eid, "featureName", {_r("\"featureValue\"", "featureValue")} FROM clean',
+        "hierarchy_file": tree("SELECT coding, node_id, parent_id, selectable FROM tree"),
+        "meanings_file": tree(
+            "SELECT node_id AS code, coalesce(r_name, n_name, node_id) AS meaning FROM tree "
+            "LEFT JOIN region ON node_id = 'r' || r_regionkey LEFT JOIN nation ON node_id = 'n' || n_nationkey"
+        ),
+        "traits_file": "SELECT CAST(o_custkey AS VARCHAR) AS \"Indiv\", round(avg(o_totalprice), 6) AS mean_price, "
+        "round(max(o_totalprice), 6) AS max_price, round(count(*)::DOUBLE, 6) AS orders FROM orders GROUP BY o_custkey",
+        "result_file": _with(CODED) + 'SELECT "featureName", sum(value) AS frequency FROM entries GROUP BY 1',
         "population": "SELECT count(DISTINCT c_custkey) AS population FROM customer",
         "unique_features": every
         + 'SELECT category, count(DISTINCT "featureName") AS features FROM allrows GROUP BY category',

@@ -154,6 +154,37 @@ def stage_roundtrip(spark, d):
     return rounded(tall_files.read_tall_csv(spark, f"{folder}/clean.csv"), "featureValue")
 
 
+def _file(spark, df, name):
+    """``df`` as a tab-separated file with a header in the shared folder."""
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}/{name}.tsv"
+    df.write.option("header", True).option("sep", "\t").csv(path)
+    return path
+
+
+def hierarchy_file(spark, d):
+    path = _file(spark, roles.hierarchy(spark, d), "tree")
+    return lookups.load_hierarchy(spark, path)
+
+
+def meanings_file(spark, d):
+    path = _file(spark, roles.hierarchy(spark, d), "meanings")
+    return lookups.load_meanings(spark, path, "node_id")
+
+
+def traits_file(spark, d):
+    scores = lookups.load_trait_scores(spark, _file(spark, roles.traits(spark, d), "scores"))
+    return rounded(scores, "mean_price", "max_price", "orders")
+
+
+def result_file(spark, d):
+    """A result table written as text and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}/frequency"
+    tall_files.write_result(features.feature_frequency(roles.entries(spark, d)), path)
+    return delimited.load_table(spark, path).select(
+        "featureName", F.col("frequency").cast("double").alias("frequency")
+    )
+
+
 # Statistics and feature shaping
 
 
@@ -650,6 +681,10 @@ ALL: tuple[Query, ...] = (
     rollup_unmatched,
     hierarchy_levels,
     stage_roundtrip,
+    hierarchy_file,
+    meanings_file,
+    traits_file,
+    result_file,
     population,
     unique_features,
     top5_features,

@@ -85,6 +85,19 @@ def test_updates_match_dense_algebra(spark, random, method, l1, l2):
         assert np.isclose(mine.half_squared_error, 0.5 * ((random - w @ h) ** 2).sum())
 
 
+def test_iterations_do_not_shuffle_entries_or_person_factor(spark, random):
+    """Both stay where they are; only sums per feature move."""
+    m = matrix.hold(to_entries(spark, random))
+    out = nmf.factorize_held(m, 2, max_iter=2)
+    layout = out.w._jdf.queryExecution().executedPlan().outputPartitioning().toString()
+    assert layout.startswith("hashpartitioning(eid")
+    step = matrix.column_products(m, out.w, 2)._jdf.queryExecution().executedPlan().toString()
+    outside = "\n".join(line for line in step.splitlines() if "REPARTITION_BY_NUM" not in line)
+    assert "hashpartitioning(eid" not in outside and "SortMergeJoin" in outside
+    assert outside.count("Exchange") == 1
+    m.release()
+
+
 def test_rank_one_and_iteration_limit(spark):
     a = np.outer(np.arange(1, 9.0), np.array([1.0, 2.0, 0.0, 4.0]))
     out = nmf.factorize(to_entries(spark, a, keep_zeros=True), 1, max_iter=4, tol=1e-6)
