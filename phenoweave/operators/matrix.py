@@ -7,6 +7,7 @@ per person or feature with an ``array<double>``: ``(eid, w)`` or
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,6 +128,19 @@ def gram(narrow: DataFrame, column: str, width: int, block: int | None = None) -
     return out
 
 
+@contextmanager
+def held(entries: DataFrame | Matrix):
+    """The entries laid out for iteration; released afterwards unless they came that way."""
+    if isinstance(entries, Matrix):
+        yield entries
+        return
+    m = hold(entries)
+    try:
+        yield m
+    finally:
+        m.release()
+
+
 # Products of two sparse matrices and entry-wise operations, for tables of any width.
 
 

@@ -29,7 +29,7 @@ from phenoweave.operators.matrix import (
     column_products,
     feature_side,
     gram,
-    hold,
+    held,
     local_products,
     row_products,
 )
@@ -206,11 +206,8 @@ def factorize_held(
 
 def factorize(entries: DataFrame, k: int, **options) -> Factors:
     """Factorize the absolute values of the entries; options as :func:`factorize_held`."""
-    m = hold(entries.withColumn("value", F.abs("value")))
-    try:
+    with held(entries.withColumn("value", F.abs("value"))) as m:
         return factorize_held(m, k, **options)
-    finally:
-        m.release()
 
 
 def svd_start(m: Matrix, k: int, fill: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -291,11 +288,8 @@ def regularized_held(
 
 
 def factorize_regularized(entries: DataFrame, k: int, **options) -> Factors:
-    m = hold(entries)
-    try:
+    with held(entries) as m:
         return regularized_held(m, k, **options)
-    finally:
-        m.release()
 
 
 def assign(factors: Factors) -> DataFrame:

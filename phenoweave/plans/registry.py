@@ -26,7 +26,7 @@ from phenoweave.operators import (
     sweeps,
 )
 from phenoweave.plans import roles
-from phenoweave.session import ensure_checkpoint_dir
+from phenoweave.session import cut_lineage, ensure_checkpoint_dir
 from phenoweave.sources import delimited, lookups, tall as tall_files
 
 DIGITS = 6
@@ -346,27 +346,22 @@ def _cells(spark, d):
 def matrix_product(spark, d):
     """Transposed matrix times matrix: the 64 x 64 products of the embeddings' columns."""
     cells = _cells(spark, d)
-    m = matrix.hold(cells.select(F.col("row").cast("string").alias("eid"), F.col("col").alias("featureName"), "value"))
-    try:
-        w = roles.embeddings(spark, d).select("eid", F.col("vector").alias("w"))
-        product = matrix.column_products(m, w, 64)
-    finally:
-        m.release()
+    entries = cells.select(F.col("row").cast("string").alias("eid"), F.col("col").alias("featureName"), "value")
+    w = roles.embeddings(spark, d).select("eid", F.col("vector").alias("w"))
+    with matrix.held(entries) as m:
+        product = cut_lineage(matrix.column_products(m, w, 64))
     long = product.select(F.col("featureName").alias("row"), F.posexplode("s").alias("col", "value"))
     return rounded(long, "value")
 
 
 def matrix_rows_times_local(spark, d):
     """Matrix times a narrow feature table: three weights per coordinate."""
-    m = matrix.hold(roles.embedding_entries(spark, d).withColumnRenamed("feature", "featureName"))
-    try:
+    with matrix.held(roles.embedding_entries(spark, d).withColumnRenamed("feature", "featureName")) as m:
         h = m.entries.select("featureName").distinct().select(
             "featureName",
             F.transform(F.sequence(F.lit(0), F.lit(2)), lambda t: ((F.col("featureName") + t) % 5).cast("double")).alias("h"),
         )
-        product = matrix.row_products(m, h, 3)
-    finally:
-        m.release()
+        product = cut_lineage(matrix.row_products(m, h, 3))
     return rounded(nmf.spread(product, "s", 3), "s0", "s1", "s2")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TALL_SCHEMA = "eid string, featureName string, featureValue double"
@@ -43,9 +44,13 @@ def write_result(result: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is a finished output on the file system it names."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    try:
+        spark.read.format("binaryFile").load(path.rstrip("/") + "/_SUCCESS")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def stage(spark: SparkSession, path: str, build) -> DataFrame:

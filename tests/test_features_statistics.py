@@ -119,6 +119,27 @@ def test_broadcast_is_sized(spark):
     assert sizing.partitions_for(spark, 10) == 2
 
 
+def test_hot_person_and_hot_feature(spark, rows):
+    """A third of the rows are one person's repeats, another third one feature's."""
+    hot = spark.range(3000).select(F.lit("hot").alias("eid"), F.lit("CANCER").alias("category"), F.lit("1=x").alias("featureName"))
+    wide = spark.range(3000).select(F.col("id").cast("string").alias("eid"), F.lit("CANCER").alias("category"), F.lit("1=y").alias("featureName"))
+    rest = spark.range(3000).select(
+        F.col("id").cast("string").alias("eid"), F.lit("CANCER").alias("category"), F.concat(F.lit("1=z"), F.col("id") % 10).alias("featureName")
+    )
+    data = hot.union(wide).union(rest).withColumn("featureValue", F.lit(1.0))
+    summary = {r["featureName"]: (r["rows"], r["persons"]) for r in statistics.feature_summary(data).collect()}
+    assert summary["1=x"] == (3000, 1) and summary["1=y"] == (3000, 3000) and summary["1=z3"] == (300, 300)
+    entries = features.matrix_entries(data)
+    assert entries.count() == 6001
+    assert rows(features.feature_frequency(entries).where("featureName = '1=x'")) == [("1=x", 1.0)]
+    numbered = numbering.number_rows(data, [F.col("featureName"), F.col("eid")], "n")
+    assert numbered.select("n").distinct().count() == 9000
+    labels = data.select("eid").distinct().withColumn("label", (F.col("eid") == "hot").cast("int"))
+    fields = spark.createDataFrame(FIELDS, "category string, field string, categorical boolean")
+    top = profiles.top_codes(data, labels, fields).where("rank = 1")
+    assert rows(top, "label", "code", "rows") == [(0, "y", 3000), (1, "x", 3000)]
+
+
 FIELDS = [("CANCER", "1", True), ("Lifestyle", "2", False), ("Lifestyle", "3", True)]
 
 
