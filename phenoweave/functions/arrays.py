@@ -33,10 +33,6 @@ def weighted_sums(value: str, vector: str, width: int) -> Column:
     return F.expr("array(" + ", ".join(f"sum({value} * {vector}[{i}])" for i in range(width)) + ")")
 
 
-def dot(left: str, right: str) -> Column:
-    return F.expr(dot_text(left, right))
-
-
 def times_matrix(vector: str, columns_of_matrix: Sequence[Sequence[float]]) -> Column:
     """Row vector times a constant matrix given as a list of its columns."""
     return F.expr(f"transform({matrix_text(columns_of_matrix)}, col -> {dot_text(vector, 'col')})")

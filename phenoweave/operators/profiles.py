@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from phenoweave.functions.names import PERSON, base_field, code_part, is_categorical
+from phenoweave.functions.names import PERSON, base_field, code_part
 from phenoweave.operators.setops import bag_union
 from phenoweave.operators.sizing import measured
 from phenoweave.session import cut_lineage
@@ -108,12 +108,6 @@ def cluster_profile(
     )
 
 
-def profile_fields(categories: DataFrame, types: DataFrame) -> DataFrame:
-    return categories.join(types, "field").select(
-        "category", "field", is_categorical("featureType").alias("categorical")
-    )
-
-
 def cluster_percentages(
     tall: DataFrame,
     labels: DataFrame,
