@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from phenoweave.llm import packing
+from phenoweave.llm import packing, quality_rules, sp_encode, token_counts
 
 #: Special strings of the 50k byte vocabulary and the id that closes a document.
 SPECIALS_50K = {"<|endoftext|>": 50256}
@@ -28,9 +29,33 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces_of(table(spark, sf_dir, "documents")), CAPACITY)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, tuple(SPECIALS_50K))
+
+
+def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sp_encode.decode(sp_encode.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_token_counts": op4_token_counts,
+        "op5_piece_encoding": op5_piece_encoding,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
