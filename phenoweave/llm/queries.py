@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenoweave.llm import packing, quality_rules, sp_encode, token_counts
+from phenoweave.llm import packing, quality_rules, secrets, sp_encode, token_counts, topk
+from phenoweave.session import shared_folder
 
 #: Special strings of the 50k byte vocabulary and the id that closes a document.
 SPECIALS_50K = {"<|endoftext|>": 50256}
@@ -29,6 +30,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces_of(table(spark, sf_dir, "documents")), CAPACITY)
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_numbers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.exact_topk(vectors.where(F.col("id") % 20 == 0), vectors, 20)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, tuple(SPECIALS_50K))
@@ -45,6 +51,19 @@ def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secrets.Ledger(spark, shared_folder(spark, "ledger"))
+    rows = secrets.find_secrets(table(spark, sf_dir, "documents"), ledger)
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["place"] < len(secrets.BASE_RULES))
+    return rows.select(
+        "doc_id",
+        *[count(rule.kind) for rule in secrets.BASE_RULES],
+        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(F.col("secrets")).alias("spans"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,8 +72,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_exact_topk": op3_exact_topk,
         "op4_token_counts": op4_token_counts,
         "op5_piece_encoding": op5_piece_encoding,
+        "op9_secret_scans": op9_secret_scans,
         "op10_quality_rules": op10_quality_rules,
     }
 
