@@ -28,18 +28,21 @@ def held_out(doc_id: str, folds: int, kept: int) -> Column:
     return F.coalesce(fold(doc_id, folds) == F.lit(kept), F.lit(True))
 
 
-def bounded_sample(rows: DataFrame, key: str, limit: int, group: str | None = None) -> DataFrame:
-    """At most ``limit`` rows (per value of ``group``) of least key hash: the same rows on every run.
+def hash_sample(rows: DataFrame, key: str, limit: int, group: str | None = None, most_groups: int = 64) -> DataFrame:
+    """About ``limit`` rows (of each value of ``group``) by hash of their key: the same on every run, without a shuffle.
 
-    Ranks are cut before the shuffle, so that no task receives a whole group.
+    Only counts per group reach the driver; beyond ``most_groups`` values the
+    most frequent are taken.
     """
-    order = [F.xxhash64(F.col(key)), F.col(key)]
+    draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
+    share = lambda n: min(1 << 30, (limit << 30) // max(1, n))
     if group is None:
-        return rows.orderBy(*order).limit(limit)
-    from pyspark.sql import Window
-
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= limit).drop("_rank")
+        return rows.where(draw < share(rows.count()))
+    counts = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(most_groups).collect()
+    bound = F.lit(None).cast("long")
+    for value, n in counts:
+        bound = F.when(F.col(group) == F.lit(value), F.lit(share(n))).otherwise(bound)
+    return rows.where(draw < bound)
 
 
 def fits(rows: DataFrame) -> bool:
@@ -80,19 +83,22 @@ def _powers_to(length: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:length], _powers["down"]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
+def word_hashes(text: bytes, is_word: np.ndarray = _IS_WORD, first: int | None = None) -> np.ndarray:
     """A 64-bit hash of every word, in order: a polynomial over its bytes, then mixed.
 
     Differences of running sums give all words of a text at once, without a
-    Python object per word.
+    Python object per word. ``is_word`` tells for each byte whether it belongs to words;
+    with ``first`` only that many leading bytes of each word are hashed.
     """
     raw = np.frombuffer(text, np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64)
     inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = _IS_WORD[raw]
+    inside[1:-1] = is_word[raw]
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[::2], edges[1::2]
+    if first is not None:
+        ends = np.minimum(ends, starts + first)
     up, down = _powers_to(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[raw] * up, out=sums[1:])

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenoweave.llm import packing, quality_rules, secrets, sp_encode, token_counts, topk
+from phenoweave.llm import langid, packing, quality_classifier, quality_rules, secrets, sp_encode, token_counts, topk, toxicity
+from phenoweave.llm.common import held_out
 from phenoweave.session import shared_folder
 
 #: Special strings of the 50k byte vocabulary and the id that closes a document.
@@ -30,6 +31,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces_of(table(spark, sf_dir, "documents")), CAPACITY)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, public_tokenizers.path("piece_bpe_32k.model"), ~held_out("doc_id", 4, 2))
+    return langid.identify(docs.select("doc_id", "text", held_out("doc_id", 4, 2).alias("held_out")), model).drop("text")
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.whole_numbers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.exact_topk(vectors.where(F.col("id") % 20 == 0), vectors, 20)
@@ -51,6 +58,22 @@ def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ensemble = quality_classifier.learn(docs, table(spark, sf_dir, "labels"), "quality")
+    rows = quality_classifier.quality(docs, ensemble)
+    score = F.col("quality_score")
+    return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    classifier = toxicity.learn(docs, table(spark, sf_dir, "labels"), "toxic", public_tokenizers.path("piece_bpe_32k.model"))
+    rows = toxicity.toxicity(docs.select("doc_id", "text"), classifier)
+    score = F.col("toxicity_score")
+    return rows.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), score.alias("score"), (score >= toxicity.DECISION).cast("int").alias("predicted"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = secrets.Ledger(spark, shared_folder(spark, "ledger"))
     rows = secrets.find_secrets(table(spark, sf_dir, "documents"), ledger)
@@ -72,9 +95,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_language_id": op2_language_id,
         "op3_exact_topk": op3_exact_topk,
         "op4_token_counts": op4_token_counts,
         "op5_piece_encoding": op5_piece_encoding,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op8_toxicity": op8_toxicity,
         "op9_secret_scans": op9_secret_scans,
         "op10_quality_rules": op10_quality_rules,
     }
