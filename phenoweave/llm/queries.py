@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenoweave.llm import langid, packing, quality_classifier, quality_rules, secrets, sp_encode, token_counts, topk, toxicity
+from phenoweave.llm import jaccard, langid, packing, quality_classifier, quality_rules, secrets, sp_encode, token_counts, topk, toxicity
 from phenoweave.llm.common import held_out
 from phenoweave.session import shared_folder
 
@@ -58,6 +58,10 @@ def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ensemble = quality_classifier.learn(docs, table(spark, sf_dir, "labels"), "quality")
@@ -99,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_topk": op3_exact_topk,
         "op4_token_counts": op4_token_counts,
         "op5_piece_encoding": op5_piece_encoding,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_toxicity": op8_toxicity,
         "op9_secret_scans": op9_secret_scans,
