@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ BUCKET_TOKENS = 1 << 20
 #: Bins that a bucket holds open at a time.
 OPEN_BINS = 2048
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 class OpenBins:
@@ -93,14 +94,14 @@ def token_pieces(
                 for piece, end in enumerate(range(first, len(ids) + 1, capacity)):
                     start = 0 if piece == 0 else end - capacity
                     part = ids[start:end]
-                    row = (None if pd.isna(doc_id) else int(doc_id), piece, start, len(part), zlib.crc32(part.tobytes()))
+                    row = (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()))
                     rows.append((*row, part.astype(np.int32)) if with_ids else row)
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, _PIECES + (", ids array<int>" if with_ids else ""))
+    # Ids travel as text, since a null among them would make pandas turn them into doubles.
+    plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInPandas(cut, _PIECES + (", ids array<int>" if with_ids else "")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = OPEN_BINS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -120,17 +121,17 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = OPEN_BINS, bu
     buckets = max(1, -(-int(total) // bucket_tokens))
     dealt = held.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, bins = None, None
-        for frame in frames:
-            numbers, offsets = np.empty(len(frame), np.int64), np.empty(len(frame), np.int64)
-            for k, (own, length) in enumerate(zip(frame["_bucket"].tolist(), frame["length"].tolist(), strict=True)):
+        for batch in batches:
+            numbers, offsets = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
+            for k, (own, length) in enumerate(zip(batch["_bucket"].to_pylist(), batch["length"].to_pylist(), strict=True)):
                 if own != bucket:
                     bucket, bins = own, OpenBins(capacity, open_bins)
                 number, offsets[k] = bins.place(length)
                 numbers[k] = (own << 32) | number
-            yield frame[names].assign(sequence_id=numbers, offset=offsets)
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(numbers), pa.array(offsets)], [*names, "sequence_id", "offset"])
 
     ordered = dealt.repartition("_bucket").sortWithinPartitions("_bucket", F.col("length").desc(), "doc_id", "piece")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ordered.mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    return ordered.mapInArrow(place, f"{schema}, sequence_id long, offset long")

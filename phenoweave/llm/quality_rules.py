@@ -117,7 +117,11 @@ def measured(docs: DataFrame) -> DataFrame:
         F.transform("_starts", lambda i: i + 2),
     )
     own = [c for c in docs.columns if c not in MEASURES]
-    return starts.select(*own, *MEASURES[:-1], F.size(covered).cast("long").alias("n_repeat_words"))
+    # A condition on a measure would be pushed below these steps and grow with each of them; it stops at a
+    # projection that is not deterministic, which this always true condition makes of it.
+    kept = lambda value: F.when(F.monotonically_increasing_id() >= 0, value)
+    last = F.size(covered).cast("long")
+    return starts.select(*own, *[kept(F.col(c)).alias(c) for c in MEASURES[:-1]], kept(last).alias(MEASURES[-1]))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines", "n_stop_words", "n_repeat_words")

@@ -193,9 +193,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         merge = codec(path)
         for frame in slices(frames, ("text", "doc_id")):
             ids = [np.asarray(merge.encode(text or ""), np.int32) for text in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "ids": ids})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    # Ids travel as text, since a null among them would make pandas turn them into doubles.
+    plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInPandas(run, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

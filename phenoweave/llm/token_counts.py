@@ -104,7 +104,8 @@ def token_counts(docs: DataFrame, path: str, pattern: str, specials: tuple[str,
     """
     spark = docs.sparkSession
     ship_package(spark)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Ids travel as text, since a null among them would make pandas turn them into doubles.
+    plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(plain, path, pattern, specials))
 
     def frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +118,6 @@ def token_counts(docs: DataFrame, path: str, pattern: str, specials: tuple[str,
                 found, total = Counter(), len(parts) - 1
                 for part in parts:
                     found.update(pre.split(part))
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
                 for token, n in found.items():
                     count = known.get(token)
                     if count is None:
@@ -125,15 +125,14 @@ def token_counts(docs: DataFrame, path: str, pattern: str, specials: tuple[str,
                     else:
                         total += n * count
                 rows.append((row, doc_id, None, total, len(text.encode())))
-            out = pd.DataFrame(rows, columns=["row", "doc_id", "pre_token", "n", "n_bytes"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "pre_token", "n", "n_bytes"])
 
     @F.pandas_udf("long")
     def count(tokens: pd.Series) -> pd.Series:
         return pd.Series(_pre_tokens(path, pattern).counts(tokens.tolist()), dtype="int64")
 
     numbered = plain.withColumn("row", F.monotonically_increasing_id())
-    held = stored(numbered.mapInPandas(frequencies, "row long, doc_id long, pre_token string, n long, n_bytes long"), "pre-tokens")
+    held = stored(numbered.mapInPandas(frequencies, "row long, doc_id string, pre_token string, n long, n_bytes long"), "pre-tokens")
     rare = held.where(F.col("pre_token").isNotNull()).select("row", "pre_token", "n")
     counted = rare.select("pre_token").distinct().withColumn("pieces", count("pre_token"))
     added = rare.join(counted, "pre_token").select("row", (F.col("n") * F.col("pieces")).alias("n_tokens"))
@@ -142,5 +141,5 @@ def token_counts(docs: DataFrame, path: str, pattern: str, specials: tuple[str,
         own.unionByName(added, allowMissingColumns=True)
         .groupBy("row")
         .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
