@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenoweave.llm import jaccard, langid, packing, quality_classifier, quality_rules, secrets, sp_encode, token_counts, topk, toxicity
+from phenoweave.llm import jaccard, langid, oracles, packing, quality_classifier, quality_rules, secrets, sp_encode, token_counts, topk, toxicity
 from phenoweave.llm.common import held_out
 from phenoweave.session import shared_folder
 
@@ -112,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
