@@ -66,7 +66,8 @@ def _profile(docs: DataFrame) -> DataFrame:
         parts = counters.reshape(-1, COUNTERS_A_ROW)
         used = np.flatnonzero(parts.any(axis=1))
         counts = [np.minimum(parts[k], 65535).astype("<u2").tobytes() for k in used]
-        yield pd.DataFrame({"doc_id": None, "n": 0, "cls": pd.array([None] * len(used), dtype="Int64"), "part": used, "counts": counts})
+        if counts:
+            yield pd.DataFrame({"doc_id": None, "n": 0, "cls": pd.array([None] * len(used), dtype="Int64"), "part": used, "counts": counts})
 
     out = _texts(docs).mapInPandas(run, "doc_id string, n long, cls long, part int, counts binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -297,7 +298,8 @@ def _links(docs: DataFrame, clusters: DataFrame, classes: DataFrame) -> DataFram
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, ("text", "doc_id")):
             sets = [s for s in map(shingles, frame["text"]) if len(s)]
-            yield pd.DataFrame({"cls": [class_of(s) for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]})
+            if sets:
+                yield pd.DataFrame({"cls": [class_of(s) for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]})
 
     totals = wanted.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("weight"))
     totals = stored(totals.withColumn("chunks", _chunks()), "clusters")
@@ -322,7 +324,8 @@ def _links(docs: DataFrame, clusters: DataFrame, classes: DataFrame) -> DataFram
     met = sized_join(parts, rest, "cluster", "inner")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     columns = ["cluster", "i", "j", "cls", "component", "shingles"]
-    asked = met.where("component <> main").withColumn("i", _chunk("strays")).drop("j").withColumn("j", each("chunks")).select(*columns)
+    asked = met.where("component <> main").withColumn("i", _chunk("strays")).drop("j").withColumn("j", each("chunks"))
+    asked = asked.select(*[F.col(c).alias(c) for c in columns])  # names of its own, as both sides come from one frame
     return first.union(_links_across(asked, met.withColumn("i", each("strays")).select(*columns)))
 
 

@@ -171,7 +171,8 @@ def learn(docs: DataFrame, path: str, learnt, limit: int = SAMPLE_DOCS) -> Langu
             found = Counter()
             for lang, text in zip(frame["lang"], frame["text"], strict=True):
                 found.update((lang, w) for w in words_of(text))
-            yield pd.DataFrame({"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())})
+            if found:
+                yield pd.DataFrame({"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())})
 
     ship_package(docs.sparkSession)
     counted = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()

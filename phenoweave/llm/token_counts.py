@@ -69,7 +69,8 @@ def _frequent(docs: DataFrame, path: str, pattern: str, specials: tuple[str, ...
             for text in frame["text"]:
                 for part in _parts(text or "", specials):
                     found.update(pre.split(part))
-            yield pd.DataFrame({"pre_token": list(found), "n": list(found.values())})
+            if found:
+                yield pd.DataFrame({"pre_token": list(found), "n": list(found.values())})
 
     top = (
         docs.where(taken)

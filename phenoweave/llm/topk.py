@@ -111,13 +111,14 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     size = blocks.agg(F.sum("n"), F.max("norm"), F.max("largest")).first()
     total, norm, largest = int(size[0] or 0), float(size[1] or 0), float(size[2] or 0)
     asked = queries.groupBy("id").agg(F.min("vector").alias("vector"))
+    highest = asked.agg(F.max(F.array_max(F.transform("vector", F.abs))), F.max(F.size("vector"))).first()
+    if float(highest[0] or 0) * largest * float(highest[1] or 0) >= 1 << 61:
+        raise ValueError("scores of these vectors do not fit a long")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))
     reach = (F.ceil(length * norm) + 1).cast("long")
     start = stored(asked.select("id", "vector", (-reach).alias("lo"), (2 * reach + 1).alias("width"), F.lit(0).cast("long").alias("above")), "queries")
-    summary = start.agg(F.count("*"), F.max("width"), F.max(F.array_max(F.transform("vector", F.abs))), F.max(F.size("vector"))).first()
+    summary = start.agg(F.count("*"), F.max("width")).first()
     count, width = int(summary[0]), int(summary[1] or 1)
-    if float(summary[2] or 0) * largest * float(summary[3] or 0) >= 1 << 62:
-        raise ValueError("scores of these vectors do not fit a long")
     slots = max(LEAST_PARTS, -(-count // SLOT_QUERIES))
     groups = max(LEAST_PARTS, -(-total // GROUP_CANDIDATES))
     dealt = blocks.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
