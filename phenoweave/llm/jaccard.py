@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ WIDTH, LINKED = 4, 85
 COUNTERS, COUNTERS_A_ROW = 1 << 22, 1 << 16
 #: Sets and shingles, about, that one task compares. Larger clusters are dealt out in chunks.
 CHUNK_SETS, CHUNK_SHINGLES = 512, 1 << 20
+#: Parts of a signature, and the length of a list up to which all its pairs are held against their signatures.
+PARTS, LISTED = 64, 512
 #: Links that a task gathers before it passes their spanning forest on.
 GATHERED = 1 << 17
 
@@ -48,6 +51,14 @@ def prefix_length(size, linked: int = LINKED):
     return size - (linked * size + 99) // 100 + 1
 
 
+def signature(found: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of PARTS parts of the hash range, 255 standing for more.
+
+    Two sets differ in at least as many shingles as their signatures do in all.
+    """
+    return np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -62,14 +73,15 @@ def _profile(docs: DataFrame) -> DataFrame:
             if sets:
                 counters += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
             classes = pd.array([class_of(s) for s in sets], dtype="Int64")
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": [len(s) for s in sets], "cls": classes, "part": None, "counts": None})
+            signed = [signature(s) for s in sets]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": [len(s) for s in sets], "cls": classes, "signature": signed, "part": None, "counts": None})
         parts = counters.reshape(-1, COUNTERS_A_ROW)
         used = np.flatnonzero(parts.any(axis=1))
-        counts = [np.minimum(parts[k], 65535).astype("<u2").tobytes() for k in used]
+        counts = [zlib.compress(np.minimum(parts[k], 65535).astype("<u2").tobytes(), 1) for k in used]
         if counts:
-            yield pd.DataFrame({"doc_id": None, "n": 0, "cls": pd.array([None] * len(used), dtype="Int64"), "part": used, "counts": counts})
+            yield pd.DataFrame({"doc_id": None, "n": 0, "cls": pd.array([None] * len(used), dtype="Int64"), "signature": None, "part": used, "counts": counts})
 
-    out = _texts(docs).mapInPandas(run, "doc_id string, n long, cls long, part int, counts binary")
+    out = _texts(docs).mapInPandas(run, "doc_id string, n long, cls long, signature binary, part int, counts binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -80,7 +92,7 @@ def _levels(profile: DataFrame) -> np.ndarray:
         total = np.zeros(COUNTERS_A_ROW, np.int64)
         for frame in frames:
             for counts in frame["counts"]:
-                total += np.frombuffer(counts, "<u2")
+                total += np.frombuffer(zlib.decompress(counts), "<u2")
         yield pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
 
     total = np.zeros((COUNTERS // COUNTERS_A_ROW, COUNTERS_A_ROW), np.int64)
@@ -111,12 +123,15 @@ class Forest:
             self.links.append((x, y))
 
 
-def _candidates(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Links between classes that share a prefix shingle and whose sizes allow a link; linked sets are connected by them.
+def _candidates(docs: DataFrame, levels: np.ndarray, classes: DataFrame) -> DataFrame:
+    """Links between classes that share a prefix shingle and may be linked; linked sets are connected by them.
 
-    The list of each shingle is sorted by size. Neighbours in it are linked
-    unless their sizes are too far apart, which ends a block, so two sets of a
-    block are connected without naming their pairs.
+    The list of each shingle is sorted by size, and whoever stands alone in one
+    goes no further. In a list of up to LISTED sets those are connected whose
+    sizes and signatures allow a link. In a longer one neighbours are, unless
+    their sizes are too far apart, which ends a block: two sets of a block are
+    connected without naming their pairs. Either way the comparison that follows
+    decides; these links only bring together what it has to compare.
     """
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -138,25 +153,66 @@ def _candidates(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     column.append(value)
             yield pd.DataFrame({name: np.concatenate(column or [np.empty(0, np.int64)]) for name, column in zip(("shingle", "n", "cls"), columns, strict=True)})
 
+    def several(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of shingles that two sets or more have, each once."""
+        held_back, paired = np.empty((0, 3), np.int64), False
+        for frame in frames:
+            rows = np.vstack([held_back, frame.to_numpy(np.int64)])
+            rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+            same = rows[1:, 0] == rows[:-1, 0]
+            keep = np.append(paired, same) | np.append(same, False)
+            held_back, paired = rows[-1:], bool(keep[-1])
+            if keep[:-1].any():
+                yield pd.DataFrame(rows[:-1][keep[:-1]], columns=["shingle", "n", "cls"])
+        if paired:
+            yield pd.DataFrame(held_back, columns=["shingle", "n", "cls"])
+
+    def listed(sizes: np.ndarray, own: list[int], signed: list[bytes], forest: Forest) -> None:
+        if len({forest.root(x) for x in own}) == 1:
+            return
+        parts = np.frombuffer(b"".join(signed), np.uint8).reshape(len(own), PARTS).astype(np.int16)
+        for i in range(len(own) - 1):
+            upto = i + 1 + np.searchsorted(LINKED * sizes[i + 1 :], 100 * sizes[i], side="right")
+            differ = np.abs(parts[i + 1 : upto] - parts[i]).sum(axis=1)
+            for j in np.flatnonzero((100 + LINKED) * differ <= (100 - LINKED) * (sizes[i] + sizes[i + 1 : upto])):
+                forest.join(own[i], own[i + 1 + j])
+
     def neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, forest = None, Forest()
+        """Rows come by shingle and size; a list is gathered until it is longer than LISTED, then only its last row is."""
+        forest, shingle, sizes, own, signed, long = Forest(), None, [], [], [], False
+
+        def close() -> None:
+            if not long and len(own) > 1:
+                listed(np.array(sizes, np.int64), own, signed, forest)
+
         for frame in frames:
-            rows = frame.to_numpy(np.int64)
-            if last is not None:
-                rows = np.vstack([last, rows])
-            if not len(rows):
-                continue
-            last = rows[-1:]
-            same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 2] != rows[:-1, 2]) & (LINKED * rows[1:, 1] <= 100 * rows[:-1, 1])
-            for x, y in zip(rows[:-1, 2][same].tolist(), rows[1:, 2][same].tolist(), strict=True):
-                forest.join(x, y)
-            if len(forest.above) > GATHERED:
-                yield pd.DataFrame(forest.links, columns=["x", "y"])
-                forest = Forest()
-        yield pd.DataFrame(forest.links, columns=["x", "y"], dtype="int64")
+            for token, n, cls, sign in zip(frame["shingle"].tolist(), frame["n"].tolist(), frame["cls"].tolist(), frame["signature"], strict=True):
+                if token != shingle:
+                    close()
+                    shingle, sizes, own, signed, long = token, [], [], [], False
+                    if len(forest.above) > GATHERED:
+                        if forest.links:
+                            yield pd.DataFrame(forest.links, columns=["x", "y"])
+                        forest = Forest()
+                if long and LINKED * n <= 100 * sizes[-1]:
+                    forest.join(own[-1], cls)
+                sizes, own, signed = ([], [], []) if long else (sizes, own, signed)
+                sizes.append(n)
+                own.append(cls)
+                signed.append(sign)
+                if len(own) > LISTED:
+                    for k in range(LISTED):
+                        if LINKED * sizes[k + 1] <= 100 * sizes[k]:
+                            forest.join(own[k], own[k + 1])
+                    long = True
+        close()
+        if forest.links:
+            yield pd.DataFrame(forest.links, columns=["x", "y"])
 
     rows = _texts(docs).mapInPandas(prefixes, "shingle long, n long, cls long")
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInPandas(neighbours, "x long, y long")
+    lists = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInPandas(several, "shingle long, n long, cls long")
+    signed = lists.join(classes.select("cls", "signature"), "cls").select("shingle", "n", "cls", "signature")
+    return signed.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInPandas(neighbours, "x long, y long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -293,22 +349,28 @@ def _links(docs: DataFrame, clusters: DataFrame, classes: DataFrame) -> DataFram
     """Spanning links of all linked classes, compared within their clusters."""
     wanted = clusters.join(classes, "cls").select("cls", "cluster", "doc_id", "n")
     wanted = stored(wanted, "clustered")
-    rows = sized_join(docs, wanted.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, ("text", "doc_id")):
-            sets = [s for s in map(shingles, frame["text"]) if len(s)]
-            if sets:
-                yield pd.DataFrame({"cls": [class_of(s) for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]})
+        for frame in slices(frames, ("text",)):
+            sets = [shingles(t) for t in frame["text"]]
+            frame = frame.drop(columns="text").assign(shingles=[s.astype("<u8").tobytes() for s in sets])
+            frame = frame[[class_of(s) == cls for s, cls in zip(sets, frame["cls"], strict=True)]]
+            if len(frame):
+                yield frame
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        """Members with their sets, read from the texts again: who belongs where is known before, so no set is joined."""
+        rows = sized_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), members, "doc_id", "inner")
+        return rows.select("text", "cls", "cluster", "n", "chunks").mapInPandas(fetch, "cls long, cluster long, n long, chunks long, shingles binary")
 
     totals = wanted.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("weight"))
     totals = stored(totals.withColumn("chunks", _chunks()), "clusters")
     small = max(1, -(-int(totals.where("chunks = 1").agg(F.sum("weight")).first()[0] or 0) // CHUNK_SHINGLES))
     large = totals.where("chunks > 1").select("cluster", "chunks")
-    members = sized_join(wanted.select("cls", "cluster", "n"), large, "cluster", "left")
-    held = stored(_texts(rows).mapInPandas(fetch, "cls long, shingles binary").join(members, "cls"), "sets")
-    inside = _links_inside(held.where("chunks is null").withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(small))), ["bucket"])
-    dealt = held.where("chunks is not null").withColumn("j", _chunk("chunks"))
+    members = stored(sized_join(wanted, large, "cluster", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long"))), "members")
+    alone = sets_of(members.where("chunks = 1")).withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(small)))
+    inside = _links_inside(alone, ["bucket"])
+    dealt = stored(sets_of(members.where("chunks > 1")).dropDuplicates(["cls"]), "sets").withColumn("j", _chunk("chunks"))
     first = stored(inside.union(_links_inside(dealt, ["cluster", "j"])), "links")
     if not large.limit(1).count():
         return first
@@ -341,10 +403,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     profile = stored(_profile(docs), "profile")
     rows = profile.where("part is null")
-    classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.max("n").alias("n"))
+    classes = rows.where("cls is not null and doc_id is not null").groupBy("cls")
+    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.max("n").alias("n"), F.max("signature").alias("signature"))
     classes = stored(classes, "classes")
     named = docs.where(F.col("doc_id").isNotNull())
-    clusters = components(_candidates(named, _levels(profile))).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
+    clusters = components(_candidates(named, _levels(profile), classes)).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
     linked = components(_links(named, clusters, classes)).withColumnRenamed("node", "cls")
     joined = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = joined.where("component <> cls or rows > 1 or doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("rows"))

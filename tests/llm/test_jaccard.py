@@ -58,6 +58,17 @@ def test_large_cluster_in_chunks(spark, monkeypatch):
     assert found(frame) == want
     monkeypatch.setattr(jaccard, "GATHERED", 20)
     assert found(frame) == want
+    monkeypatch.setattr(jaccard, "LISTED", 5)
+    assert found(frame) == want
+
+
+def test_signatures_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(3)
+    for size in (5, 500, 40_000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) << np.uint64(1)) for _ in range(2))
+        b = np.unique(np.concatenate([a[: size // 2], b[: size // 2]]))
+        x, y = (np.frombuffer(jaccard.signature(s), np.uint8).astype(int) for s in (a, b))
+        assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
 
 
 def test_exact_border(spark):
