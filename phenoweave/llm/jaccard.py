@@ -18,9 +18,9 @@ WIDTH, LINKED = 4, 85
 #: Counters of the sketch that orders shingles from rare to frequent, and the part of it in one row.
 COUNTERS, COUNTERS_A_ROW = 1 << 22, 1 << 16
 #: Sets and shingles, about, that one task compares. Larger clusters are dealt out in chunks.
-CHUNK_SETS, CHUNK_SHINGLES = 512, 1 << 20
+CHUNK_SETS, CHUNK_SHINGLES = 512, 1 << 21
 #: Parts of a signature, and the length of a list up to which all its pairs are held against their signatures.
-PARTS, LISTED = 64, 512
+PARTS, LISTED = 256, 512
 #: Links that a task gathers before it passes their spanning forest on.
 GATHERED = 1 << 17
 
@@ -56,7 +56,7 @@ def signature(found: np.ndarray) -> bytes:
 
     Two sets differ in at least as many shingles as their signatures do in all.
     """
-    return np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
