@@ -66,7 +66,7 @@ def melt(wide: DataFrame, fields: list[Field], one_row_per_person: bool = False)
 
     A categorical cell ``v`` becomes ``field=v`` with 1.0 unless it is null or
     an excluded code; a numeric cell becomes ``field`` with its number, null
-    included. Repeats are removed inside each person's row first, which needs
+    included, and the text NaN is null too. Repeats are removed inside each person's row first, which needs
     no shuffle; ``one_row_per_person`` states that this is enough.
     """
     # A list of one typed array per field keeps the exploded rows few.
@@ -88,7 +88,7 @@ def melt(wide: DataFrame, fields: list[Field], one_row_per_person: bool = False)
                 text,
                 lambda v: F.struct(
                     F.col("f.field").alias("featureName"),
-                    v.try_cast("double").alias("featureValue"),
+                    F.nanvl(v.try_cast("double"), F.lit(None).cast("double")).alias("featureValue"),
                 ),
             )
         )
@@ -171,8 +171,8 @@ def clean(
 
     Only numeric features need statistics (a categorical value is always 1),
     so the first pass reads numeric columns alone and yields at most one row
-    per field. A feature's mean never exceeds its maximum, hence the maximum of
-    the raw values is also the one after imputation.
+    per field. The larger of a feature's raw maximum and its mean is the maximum
+    after imputation.
     """
     if drop_deceased:
         wide = exclude_deceased(wide, one_row_per_person=one_row_per_person)
@@ -191,7 +191,7 @@ def clean(
             "category",
             "featureName",
             F.when(is_categorical("featureType"), F.col("featureValue"))
-            .otherwise(value / F.col("max"))
+            .otherwise(value / F.greatest("max", "mean"))  # rounding may lift a mean of equal values above them
             .alias("featureValue"),
         )
     )

@@ -10,7 +10,6 @@ from collections.abc import Iterable
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import BisectingKMeans, BisectingKMeansModel
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,8 +18,6 @@ from phenoweave.operators.svd import pca_entries
 
 DEFAULT_K = 4
 SWEEP = range(2, 21, 2)
-# Spark ML holds the packed covariance of PCA on the driver.
-PCA_COVARIANCE_BYTES = 512 << 20
 
 
 def bisecting_kmeans(vectors: DataFrame, k: int = DEFAULT_K, seed: int = 1) -> BisectingKMeansModel:
@@ -49,19 +46,10 @@ def error_by_k(vectors: DataFrame, ks: Iterable[int] = SWEEP, seed: int = 1) ->
 def pca_project(vectors: DataFrame, labels: DataFrame, k: int = 2) -> DataFrame:
     """Vectors times the leading principal components, not centred: ``eid, x, y, cluster``.
 
-    Where the covariance is too large for one machine, the components come
-    from passes over the non-zero entries instead.
+    The components come from passes over the non-zero entries at any width, and
+    a vector of zeros keeps its row.
     """
-    width = vectors.select(F.size(vector_to_array("features"))).first()[0]
-    if width * (width + 1) * 4 > PCA_COVARIANCE_BYTES:
-        entries = vectors.select(
-            PERSON, F.posexplode(vector_to_array("features")).alias("featureName", "value")
-        ).where("value != 0")
-        return pca_entries(entries, labels, k)
-    model = PCA(k=k, inputCol="features", outputCol="p").fit(vectors)
-    p = vector_to_array("p")
-    return (
-        model.transform(vectors)
-        .join(labels, PERSON)
-        .select(PERSON, p[0].alias("x"), p[1].alias("y"), F.col("label").alias("cluster"))
-    )
+    entries = vectors.select(
+        PERSON, F.posexplode(vector_to_array("features")).alias("featureName", "value")
+    ).where("value != 0")
+    return pca_entries(entries, vectors.select(PERSON).join(labels, PERSON), k)

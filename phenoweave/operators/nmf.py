@@ -292,9 +292,17 @@ def factorize_regularized(entries: DataFrame, k: int, **options) -> Factors:
         return regularized_held(m, k, **options)
 
 
-def assign(factors: Factors) -> DataFrame:
-    """Each person's strongest component, the first one on ties."""
-    return factors.w.select(PERSON, argmax_first(F.col("w")).alias("label"))
+def assign(factors: Factors, persons: DataFrame | None = None) -> DataFrame:
+    """Each person's strongest component, the first one on ties.
+
+    With ``persons`` every one of them is labelled: who has no entry, and so no
+    weight in any component, takes the first.
+    """
+    found = factors.w.select(PERSON, argmax_first(F.col("w")).alias("label"))
+    if persons is None:
+        return found
+    joined = persons.select(PERSON).distinct().join(found, PERSON, "left")
+    return joined.select(PERSON, F.coalesce("label", F.lit(0)).cast(found.schema["label"].dataType).alias("label"))
 
 
 def spread(df: DataFrame, column: str, k: int) -> DataFrame:

@@ -144,17 +144,21 @@ def cluster_percentages(
 
 
 def percentage_pivot(percentages: DataFrame, labels: list[int]) -> DataFrame:
-    """One row per meaning, a column per cluster (0 where absent) and the population share."""
+    """One row per meaning, a column per cluster (0 where absent) and the population share.
+
+    Of several codes with one meaning the largest shares are shown.
+    """
     prefix = "percentFeatureInCluster"
     wide = (
         percentages.groupBy("meaning")
         .pivot("label", labels)
-        .agg(F.first(prefix))
+        .agg(F.max(prefix))
         .select(
             "meaning", *[F.coalesce(F.col(f"`{label}`"), F.lit(0.0)).alias(f"{prefix}{label}") for label in labels]
         )
     )
-    return wide.join(percentages.select("meaning", "percentFeatureInPop"), "meaning").distinct()
+    share = percentages.groupBy("meaning").agg(F.max("percentFeatureInPop").alias("percentFeatureInPop"))
+    return wide.join(share, "meaning")
 
 
 def matched_traits(traits: DataFrame, labels: DataFrame, key: str = "Indiv") -> DataFrame:

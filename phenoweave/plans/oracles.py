@@ -507,12 +507,13 @@ def oracle_sql() -> dict[str, str]:
             'chosen AS (SELECT e.* FROM entries e JOIN var USING ("featureName") WHERE variance > 0.99 * (1 - 0.99))',
             _factor_ctes(k=4, iterations=5, source="chosen"),
             'strongest AS (SELECT eid, greatest(w0, w1, w2, w3) AS top, w0, w1, w2 FROM w_5)',
-            "labels AS (SELECT eid, CASE WHEN w0 = top THEN 0 WHEN w1 = top THEN 1 WHEN w2 = top THEN 2 ELSE 3 END AS label FROM strongest)",
+            "labels AS (SELECT eid, CASE WHEN w0 = top OR top IS NULL THEN 0 WHEN w1 = top THEN 1 WHEN w2 = top THEN 2 ELSE 3 END AS label "
+            "FROM (SELECT DISTINCT eid FROM bought) LEFT JOIN strongest USING (eid))",
             "brands AS (SELECT * FROM coded WHERE category = 'CANCER')",
             "selected AS ("
             + " UNION ALL ".join(f'SELECT {t} AS label, f AS "featureName" FROM h_5 WHERE h{t} > 0.5' for t in range(4))
             + ")",
-            PERCENT.replace("FROM bought", "FROM chosen"),
+            PERCENT,
         )
         + f"SELECT meaning, label, {_r('c', 'percentFeatureInCluster')}, {_r('p', 'percentFeatureInPop')} FROM shares",
         "best_brand": _with(CODED)

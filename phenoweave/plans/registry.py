@@ -148,8 +148,9 @@ def stage_roundtrip(spark, d):
     def build():
         return cleaning.clean(wide, roles.fields(), one_row_per_person=True)
 
-    tall_files.stage(spark, f"{folder}/clean", build)
-    stored = tall_files.stage(spark, f"{folder}/clean", build)
+    kinds = tuple(sorted({f.category for f in roles.fields()}))
+    tall_files.stage(spark, f"{folder}/clean", build, kinds)
+    stored = tall_files.stage(spark, f"{folder}/clean", build, kinds)
     tall_files.write_tall_csv(stored, f"{folder}/clean.csv")
     return rounded(tall_files.read_tall_csv(spark, f"{folder}/clean.csv"), "featureValue")
 
@@ -644,12 +645,14 @@ def best_brand(spark, d):
 def phenotypes(spark, d):
     """From purchases to phenotypes: matrix, factorization, assignment, decoded shares."""
     coded = roles.coded(spark, d)
-    entries = features.variance_select(features.matrix_entries(coded), 0.99)
+    every = features.matrix_entries(coded)
+    people = every.select("eid").distinct()  # before selection, which may leave some without entries
+    entries = features.variance_select(every, 0.99)
     factors = nmf.factorize(entries, 4, max_iter=5, w_start=_w_start, h_start=_h_start)
-    labels = nmf.assign(factors)
+    labels = nmf.assign(factors, people)
     strong = components.strong_features(nmf.component_weights(factors), 0.5)
     decode = roles.meanings(spark, d).where(F.col("field") == "brand")
-    persons = factors.w.count()
+    persons = people.count()
     brands = coded.where(F.col("category") == "CANCER")
     return rounded(
         profiles.cluster_percentages(brands, labels, strong, decode, persons),

@@ -53,8 +53,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def stage(spark: SparkSession, path: str, build) -> DataFrame:
-    """The long table at ``path``, built by ``build()`` only when it is missing."""
-    if not exists(spark, path):
+def _holds(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema(TALL_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def stage(spark: SparkSession, path: str, build, categories: tuple[str, ...] = ()) -> DataFrame:
+    """The long table at ``path``, built by ``build()`` when it, or one of ``categories`` in it, is missing."""
+    if not (exists(spark, path) and all(_holds(spark, f"{path.rstrip('/')}/category={c}") for c in categories)):
         write_tall(build(), path, mode="overwrite")
     return read_tall(spark, path)

@@ -139,6 +139,27 @@ def test_svd_and_pca(spark, random):
     assert np.allclose(np.abs([[r["x"], r["y"]] for r in by_ml]), expected, atol=1e-6)
 
 
+def test_persons_without_entries_keep_their_rows(spark):
+    entries = spark.createDataFrame([("a", "f", 1.0), ("b", "f", 1.5), ("c", "f", 9.0)], "eid string, featureName string, value double")
+    labels = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("z", 0)], "eid string, label int")
+    x, own = {"a": 1.0, "b": 1.5, "c": 9.0, "z": 0.0}, {"a": 0, "b": 0, "c": 1, "z": 0}
+
+    def silhouette(p, distance):
+        mean = {g: [distance(x[p], x[q]) for q in x if own[q] == g and q != p] for g in (0, 1)}
+        if not mean[own[p]]:
+            return 0.0
+        a, b = np.mean(mean[own[p]]), np.mean(mean[1 - own[p]])
+        return (b - a) / max(a, b)
+
+    for metric, distance in (("euclidean", lambda a, b: abs(a - b)), ("sqeuclidean", lambda a, b: (a - b) ** 2)):
+        got = {r.eid: r.silhouette for r in quality.silhouette_persons(entries, labels, metric).collect()}
+        assert got == pytest.approx({p: silhouette(p, distance) for p in x})
+    assert quality.silhouette_self_inclusive(entries, labels).count() == 4
+    assert quality.silhouette_persons(entries, labels, "cosine").count() == 3
+    plane = {r.eid: (r.x, r.y) for r in svd.pca_entries(entries, labels).collect()}
+    assert plane["z"] == (0.0, 0.0) and len(plane) == 4
+
+
 def nndsvd(a, k):
     """The published start from singular vectors, densely."""
     u, s, vt = np.linalg.svd(a, full_matrices=False)

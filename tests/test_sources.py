@@ -114,3 +114,11 @@ def test_dotted_names_survive_melt(spark, rows):
     wide = spark.createDataFrame([("1", "x")], ["eid", "1-0.0"])
     out = melt(wide, [Field("A", "1", "Categorical (single)")])
     assert rows(out, "featureName") == [("1=x",)]
+
+
+def test_stage_is_built_again_when_a_category_is_missing(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "f", 1.0, "X"), ("b", "g", 2.0, "Y")], tall.TALL_SCHEMA + ", category string")
+    path = str(tmp_path / "s")
+    assert tall.stage(spark, path, lambda: rows.where("category = 'X'"), ("X",)).count() == 1
+    assert tall.stage(spark, path, lambda: rows, ("X", "Y")).count() == 2
+    assert tall.stage(spark, path, lambda: 1 / 0, ("X", "Y")).count() == 2
