@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from phenoweave.functions.arrays import weighted_sums
 from phenoweave.functions.names import PERSON
 from phenoweave.operators.sizing import fits_broadcast, partitions_for, sized
-from phenoweave.session import cut_lineage
+from phenoweave.session import cut_lineage, ship_package
 
 QUOTIENT_EPSILON = 2.0e-15  # fixed value of the elementwise quotient
 
@@ -128,6 +128,53 @@ def gram(narrow: DataFrame, column: str, width: int, block: int | None = None) -
     return out
 
 
+# Persons that one product takes as dense rows.
+DENSE_ROWS = 2048
+
+
+def feature_gram(m: Matrix) -> tuple[list[str], np.ndarray]:
+    """Names of the features and the products of all pairs of their columns, for a bounded number of features.
+
+    Each partition adds up the outer products of its persons; one row per feature
+    and partition is shuffled.
+    """
+    names = sorted(r[0] for r in m.entries.select("featureName").distinct().collect())
+    place = pd.Series(np.arange(len(names)), index=names)
+
+    def partial(frames):
+        total, rest = np.zeros((len(names), len(names))), None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            person = pd.factorize(frame[PERSON], use_na_sentinel=False)[0]
+            rest = frame[person == person[-1]]  # the next frame may go on with the last person
+            _add_products(total, person, place[frame["featureName"]].to_numpy(), frame["value"].to_numpy(float), person[-1])
+        if rest is not None:
+            _add_products(total, np.zeros(len(rest), np.int64), place[rest["featureName"]].to_numpy(), rest["value"].to_numpy(float), 1)
+            yield pd.DataFrame({"i": np.arange(len(names)), "g": list(total)})
+
+    def summed(frame):
+        return pd.DataFrame({"i": frame["i"].iloc[:1], "g": [np.sum(frame["g"].to_list(), axis=0)]})
+
+    ship_package(m.spark)
+    partials = m.entries.select(PERSON, "featureName", "value").mapInPandas(partial, "i long, g array<double>")
+    out = np.zeros((len(names), len(names)))
+    for r in partials.groupBy("i").applyInPandas(summed, "i long, g array<double>").collect():
+        out[r["i"]] = r["g"]
+    return names, (out + out.T) / 2
+
+
+def _add_products(total: np.ndarray, person: np.ndarray, column: np.ndarray, value: np.ndarray, end: int) -> None:
+    """Add the outer products of the persons numbered below ``end``, in ascending order in ``person``."""
+    for start in range(0, end, DENSE_ROWS):
+        stop = min(end, start + DENSE_ROWS)
+        a, b = np.searchsorted(person, [start, stop])
+        dense = np.zeros((stop - start, len(total)))
+        np.add.at(dense, (person[a:b] - start, column[a:b]), value[a:b])
+        total += dense.T @ dense
+
+
 @contextmanager
 def held(entries: DataFrame | Matrix):
     """The entries laid out for iteration; released afterwards unless they came that way."""

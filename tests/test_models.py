@@ -331,3 +331,25 @@ def test_searches_run(spark, random):
     assert chart.count() == 40 and chart.select("y").distinct().count() == 40
     factors, totals = stability.stable_factorization(entries, (2,), runs=2, max_iter=2)
     assert factors.k == 2 and set(totals) == {2}
+
+
+@pytest.mark.parametrize("exact", [1024, 0])
+def test_axes_of_a_nearly_flat_spectrum(spark, monkeypatch, exact):
+    monkeypatch.setattr(svd, "EXACT_FEATURES", exact)
+    rng = np.random.default_rng(6)
+    u, v = (np.linalg.qr(rng.normal(size=(n, 64)))[0] for n in (200, 64))
+    spectrum = np.concatenate([[1.08, 1.04], np.linspace(1.0, 0.9, 62)]) if exact else np.concatenate([[2.0, 1.6], np.linspace(1.0, 0.9, 62)])
+    u -= u.mean(0)
+    a = np.linalg.qr(u)[0] * spectrum @ v.T
+    entries = to_entries(spark, a)
+    labels = entries.select("eid").distinct().withColumn("label", F.lit(0))
+    for project in (svd.svd_project, svd.pca_entries):
+        plane = project(entries, labels).orderBy("eid").collect()
+        expected = np.abs(a @ np.linalg.svd(a)[2][:2].T)
+        assert np.allclose(np.abs([[r["x"], r["y"]] for r in plane]), expected, atol=1e-6)
+
+
+def test_singular_vectors_that_do_not_settle_are_an_error(spark, random, monkeypatch):
+    monkeypatch.setattr(svd, "EXACT_FEATURES", 0)
+    with matrix.held(to_entries(spark, random)) as m, pytest.raises(RuntimeError):
+        svd.truncated_svd(m, 2, oversample=0, max_iter=2)
