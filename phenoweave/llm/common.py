@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phenoweave.session import stored
+
 #: A side of a join is broadcast up to this size, counted at ROW_BYTES a row, and shuffled beyond it.
 BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 64
@@ -28,21 +30,18 @@ def held_out(doc_id: str, folds: int, kept: int) -> Column:
     return F.coalesce(fold(doc_id, folds) == F.lit(kept), F.lit(True))
 
 
-def hash_sample(rows: DataFrame, key: str, limit: int, group: str | None = None, most_groups: int = 64) -> DataFrame:
-    """About ``limit`` rows (of each value of ``group``) by hash of their key: the same on every run, without a shuffle.
+def hash_sample(rows: DataFrame, key: str, limit: int, group: str | None = None) -> DataFrame:
+    """About ``limit`` rows (of each value of ``group``, of which there may be any number) by hash of their key.
 
-    Only counts per group reach the driver; beyond ``most_groups`` values the
-    most frequent are taken.
+    The same on every run. Counts per group are joined and do not reach the
+    driver; a row whose group is null is not taken.
     """
     draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
-    share = lambda n: min(1 << 30, (limit << 30) // max(1, n))
     if group is None:
-        return rows.where(draw < share(rows.count()))
-    counts = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(most_groups).collect()
-    bound = F.lit(None).cast("long")
-    for value, n in counts:
-        bound = F.when(F.col(group) == F.lit(value), F.lit(share(n))).otherwise(bound)
-    return rows.where(draw < bound)
+        return rows.where(draw < min(1 << 30, (limit << 30) // max(1, rows.count())))
+    share = F.expr(f"least({1 << 30}L, {limit << 30}L div count(*))").alias("_share")
+    shares = stored(rows.where(F.col(group).isNotNull()).groupBy(group).agg(share), "shares")
+    return sized_join(rows, shares, group, "inner").where(draw < F.col("_share")).select(*rows.columns)
 
 
 def fits(rows: DataFrame) -> bool:

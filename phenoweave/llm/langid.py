@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from phenoweave.llm.common import hash_sample, slices
 from phenoweave.session import ship_package
 
-#: Documents, about, that each language is learnt from; at most this many languages, the most frequent.
-SAMPLE_DOCS, MOST_LANGUAGES = 1000, 64
+#: Documents, about, that each language is learnt from.
+SAMPLE_DOCS = 1000
 #: Longest piece and longest stretch of a word, in letters; a longer word is scored as consecutive stretches.
 LONGEST_PIECE, LONGEST_WORD = 8, 24
 ROUNDS, SMOOTHING = 4, 0.1
-#: Words whose scores a worker remembers.
-REMEMBERED = 1 << 18
+#: Words whose scores a worker remembers, and words scored at a time; fewer beyond FULL_LANGUAGES languages.
+REMEMBERED, WORDS_AT_ONCE, FULL_LANGUAGES = 1 << 18, 8192, 64
 
 SPACE = "▁"
 UNDETERMINED = "und"
@@ -88,7 +88,12 @@ def _stretches(words: list[str]) -> tuple[list[str], np.ndarray]:
     return out, np.array(owner, np.int64)
 
 
-def _by_length(stretches: list[str], most: int = 8192) -> Iterator[np.ndarray]:
+def _bounded(words: int, languages: int) -> int:
+    """So many words that their scores take no more memory than ``words`` of FULL_LANGUAGES languages."""
+    return max(1, words * FULL_LANGUAGES // max(FULL_LANGUAGES, languages))
+
+
+def _by_length(stretches: list[str], most: int = WORDS_AT_ONCE) -> Iterator[np.ndarray]:
     lengths = np.array([len(s) for s in stretches], np.int64)
     for length in np.unique(lengths):
         rows = np.flatnonzero(lengths == length)
@@ -108,7 +113,7 @@ class LanguageModel:
         """Log probability of each word in each language: the forward sum over its segmentations."""
         stretches, owner = _stretches(words)
         out = np.zeros((len(words), len(self.languages)))
-        for rows in _by_length(stretches):
+        for rows in _by_length(stretches, _bounded(WORDS_AT_ONCE, len(self.languages))):
             part = [stretches[r] for r in rows]
             ways = np.zeros((len(part[0]) + 1, len(part), len(self.languages)))
             ways[0] = 1
@@ -158,13 +163,13 @@ def fit(words: dict[str, Counter], pieces: list[str]) -> LanguageModel:
 
 
 def learn(docs: DataFrame, path: str, learnt, limit: int = SAMPLE_DOCS) -> LanguageModel:
-    """Fit on about ``limit`` documents of each language among the rows where ``learnt`` holds.
+    """Fit on about ``limit`` documents of every language among the rows where ``learnt`` holds.
 
     Null texts and null languages teach nothing. The word counts of the sample
     are summed by Spark; only they reach the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnt)
-    sample = hash_sample(rows.select("doc_id", "lang", F.col("text").cast("string").alias("text")), "doc_id", limit, "lang", MOST_LANGUAGES)
+    sample = hash_sample(rows.select("doc_id", "lang", F.col("text").cast("string").alias("text")), "doc_id", limit, "lang")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, ("text",)):
@@ -199,7 +204,7 @@ class Scorer:
         if new:
             table = np.vstack([table, self.model.word_scores(new, self.lattice).astype(np.float32)])
             fresh = {w: len(self.table) + k for k, w in enumerate(new)}
-            if len(self.known) + len(new) <= REMEMBERED:
+            if len(self.known) + len(new) <= _bounded(REMEMBERED, len(self.model.languages)):
                 self.known.update(fresh)
                 self.table = table
             else:
