@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -453,12 +454,12 @@ def nmf_coordinate_h(spark, d):
 
 def nmf_regularized(spark, d):
     """Penalized factorization from the SVD start: weights per component."""
-    factors = nmf.factorize_regularized(roles.entries(spark, d), 4, alpha=1.0, l1_ratio=0.5, max_iter=10)
+    factors = nmf.factorize_regularized(roles.entries(spark, d), 4, alpha=1.0, l1_ratio=0.5)
     return nmf.component_weights(factors)
 
 
 def nmf_error_curve(spark, d):
-    return nmf.error_curve(roles.entries(spark, d), 4, list(range(2, 11, 2)))
+    return nmf.error_curve(roles.entries(spark, d), 4)
 
 
 def _weights(spark, d):
@@ -535,12 +536,12 @@ def stanmf_dissimilarity(spark, d):
 
 
 def stanmf_table(spark, d):
-    return stability.stability_table(roles.quantities(spark, d), (2, 3), runs=3, max_iter=5)
+    return stability.stability_table(roles.quantities(spark, d))
 
 
 def stanmf_select(spark, d):
     """Assignment by the best run of the most stable k."""
-    factors, _ = stability.stable_factorization(roles.quantities(spark, d), (2, 3), runs=3, max_iter=5)
+    factors, _ = stability.stable_factorization(roles.quantities(spark, d))
     return nmf.assign(factors)
 
 
@@ -596,17 +597,15 @@ def silhouette_sampled(spark, d):
 
 
 def k_vs_silhouette(spark, d):
-    return sweeps.silhouette_by_k(roles.quantities(spark, d), (2, 6, 10), max_iter=4)
+    return sweeps.silhouette_by_k(roles.quantities(spark, d))
 
 
 def optimal_k(spark, d):
-    return sweeps.optimal_k(roles.quantities(spark, d), (2, 6), max_iter=4)
+    return sweeps.optimal_k(roles.quantities(spark, d))
 
 
 def grid_search(spark, d):
-    return sweeps.grid_search(
-        roles.quantities(spark, d), ks=(2,), alphas=(1.0, 15.0), l1_ratios=(0.0, 1.0), max_iter=3
-    )
+    return sweeps.grid_search(roles.quantities(spark, d))
 
 
 def _order_grid(spark, d):
@@ -633,7 +632,10 @@ def grid_pivot(spark, d):
 
 
 def silhouette_chart(spark, d):
-    return sweeps.silhouette_chart(roles.quantities(spark, d), 3, max_iter=4)
+    """Chart rows for every k that the sweep draws."""
+    entries = roles.quantities(spark, d)
+    charts = [sweeps.silhouette_chart(entries, k).withColumn("k", F.lit(k)) for k in sweeps.OPTIMAL_KS]
+    return reduce(DataFrame.unionByName, charts)
 
 
 def best_brand(spark, d):
