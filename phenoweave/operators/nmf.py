@@ -1,7 +1,8 @@
 """Non-negative factorization ``V = W H`` on distributed entries.
 
 ``W`` is ``(eid, w)`` and ``H`` is ``(featureName, h)`` with arrays of
-``runs * k`` numbers: several runs share one pass over the entries. Only the
+``runs * k`` numbers. While a feature factor is small enough to be broadcast,
+rounds run in :mod:`ensemble`; wider matrices are factorized by joins, where only
 k x k Gram matrices and the error reach the driver.
 """
 
@@ -33,10 +34,14 @@ from phenoweave.operators.matrix import (
     local_products,
     row_products,
 )
+from phenoweave.operators.blocks import lay_out
+from phenoweave.operators.ensemble import Ensemble, Rules, Setting, batches, factorize_all
 from phenoweave.operators.svd import truncated_svd
 from phenoweave.session import cut_lineage
 
-ERROR_TOLERANCE = 1e-4  # fixed value of the stop rule
+# Fixed values of the stop rules.
+ERROR_TOLERANCE = 1e-4
+GRADIENT_SHARE = 1e-4
 MAX_ITERATIONS = 200
 
 Start = Callable[[str, int], Column]  # key column and width give the start array
@@ -158,15 +163,53 @@ def factorize_held(
 ) -> Factors:
     """Alternate the two half-steps until the error is at most ``tol``.
 
-    ``relative_stop`` also ends the loop once an iteration lowers the error by
-    less than that share of the first error. Each half-step is one job over the
-    held entries; its result is checkpointed, so plans stay short and a lost
-    executor costs no more than the running job.
+    ``relative_stop`` also ends a run once the projected gradient that a round of
+    coordinate descent meets, summed over both factors, is at most that share of
+    the first round's.
     """
-    width = runs * k
-    w, h = initial or _start_tables(
-        m, width, w_start or partial(hashed_units, 2 * seed), h_start or partial(hashed_units, 2 * seed + 1)
+    start = initial or _start_tables(
+        m, runs * k, w_start or partial(hashed_units, 2 * seed), h_start or partial(hashed_units, 2 * seed + 1)
+    )
+    if not local_products(m, runs * k):
+        return joined_rounds(m, k, start, max_iter, tol, runs, method, l1, l2, relative_stop)
+    settings = [Setting(k, l1, l2, first=r * k) for r in range(runs)]
+    done = factorize_all(m, settings, Rules(method, max_iter, tol, relative_stop), start, columns=runs * k)
+    return factors_of(done, list(range(runs)))
+
+
+def factors_of(e: Ensemble, settings: list[int]) -> Factors:
+    """Settings of one group as runs of one result; an earlier end keeps its last error."""
+    rounds = max(len(e.errors[i]) for i in settings)
+    return Factors(
+        cut_lineage(e.person_factor(settings)),
+        e.feature_factor(settings),
+        e.settings[settings[0]].k,
+        len(settings),
+        [[e.errors[i][min(n, len(e.errors[i]) - 1)] for i in settings] for n in range(rounds)],
     )
+
+
+def joined_rounds(
+    m: Matrix,
+    k: int,
+    start: tuple[DataFrame, DataFrame],
+    max_iter: int,
+    tol: float,
+    runs: int = 1,
+    method: str = "multiplicative",
+    l1: float = 0.0,
+    l2: float = 0.0,
+    relative_stop: float | None = None,
+) -> Factors:
+    """The rounds as joins and sums, for any number of features.
+
+    Each half-step is one job over the held entries; its result is checkpointed,
+    so plans stay short and a lost executor costs no more than the running job.
+    ``relative_stop`` here ends the loop once an iteration lowers the error by
+    less than that share of the first error.
+    """
+    width = runs * k
+    w, h = start
     local = local_products(m, width)
     w, h = cut_lineage(w, keep_layout=local), cut_lineage(h)
     g_h = gram(h, "h", width, k)
@@ -267,13 +310,14 @@ def regularized_held(
     alpha: float = 0.0,
     l1_ratio: float = 0.0,
     max_iter: int = MAX_ITERATIONS,
-    relative_stop: float | None = 1e-6,
+    relative_stop: float | None = GRADIENT_SHARE,
 ) -> Factors:
     """Penalized factorization by coordinate descent from an SVD-based start.
 
     Minimizes half the squared error plus ``alpha * l1_ratio`` times the entry
     sums plus half of ``alpha * (1 - l1_ratio)`` times the entry squares of
-    both factors. Nothing in it is random.
+    both factors. It ends after ``max_iter`` rounds or when the projected
+    gradient has fallen to ``relative_stop`` of the first round's. Nothing in it is random.
     """
     return factorize_held(
         m,
@@ -287,6 +331,31 @@ def regularized_held(
     )
 
 
+def regularized_all(
+    m: Matrix,
+    settings: list[tuple[int, float, float]],
+    max_iter: int = MAX_ITERATIONS,
+    relative_stop: float | None = GRADIENT_SHARE,
+) -> list[tuple[Ensemble, list[int]]]:
+    """:func:`regularized_held` for many ``(k, alpha, l1_ratio)`` at once, from one SVD.
+
+    The start of a smaller k is the leading part of the start of the largest. One
+    ensemble for as many settings as can be broadcast together, each with the
+    positions of its settings in the list.
+    """
+    start = svd_start(m, max(k for k, _, _ in settings))
+    start = cut_lineage(start[0]), cut_lineage(start[1])
+    wanted = [Setting(k, alpha * ratio, alpha * (1 - ratio)) for k, alpha, ratio in settings]
+    rules, blocks, out, left = Rules("coordinate", max_iter, 0.0, relative_stop), lay_out(m), [], list(range(len(wanted)))
+    for batch in batches(wanted, m.features):
+        places = []
+        for setting in batch:  # equal settings are different rows of the result
+            places.append(next(i for i in left if wanted[i] == setting))
+            left.remove(places[-1])
+        out.append((factorize_all(m, batch, rules, start, blocks), places))
+    return out
+
+
 def factorize_regularized(entries: DataFrame, k: int, **options) -> Factors:
     with held(entries) as m:
         return regularized_held(m, k, **options)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 K = 3
-ITERATIONS = 3
+ITERATIONS = 200
 EPSILON = "2e-15"
 
 WIDE = """
@@ -145,7 +145,7 @@ def _r(column: str, name: str | None = None, digits: int = 6) -> str:
     return f'round({column}, {digits}) AS "{name or column}"'
 
 
-# Factorization unrolled: one materialized CTE per half-step.
+# Factorization as a recursion over whole factors: a row per round, a list per component.
 
 
 def _factor_ctes(
@@ -157,58 +157,53 @@ def _factor_ctes(
     source: str = "quantities",
 ) -> str:
     ks = range(k)
-    w0 = ", ".join(f"((CAST(eid AS BIGINT) * 7 + {t} * 13) % 97 + 1) / 98.0::DOUBLE AS w{t}" for t in ks)
+    w0 = ", ".join(f"list(((CAST(eid AS BIGINT) * 7 + {t} * 13) % 97 + 1) / 98.0::DOUBLE ORDER BY p) AS w{t}" for t in ks)
     h0 = ", ".join(
-        f"((ascii(right(\"featureName\", 1)) * 31 + length(\"featureName\") * 17 + {t + 1} * 29) % 89 + 1)"
-        f" / 90.0::DOUBLE AS h{t}"
-        for t in ks
+        f"list(((ascii(right(f, 1)) * 31 + length(f) * 17 + {t + 1} * 29) % 89 + 1) / 90.0::DOUBLE ORDER BY q) AS h{t}" for t in ks
     )
-    out = [
-        f"v AS MATERIALIZED (SELECT eid, \"featureName\" AS f, value FROM {source})",
-        f"w_0 AS MATERIALIZED (SELECT eid, {w0} FROM (SELECT DISTINCT eid FROM v))",
-        f"h_0 AS MATERIALIZED (SELECT f, {h0.replace('\"featureName\"', 'f')} FROM (SELECT DISTINCT f FROM v))",
-    ]
-
-    def gram(name, source, x):
-        sums = ", ".join(f"sum({x}{a} * {x}{b}) AS g{a}{b}" for a in ks for b in ks)
-        return f"{name} AS MATERIALIZED (SELECT {sums} FROM {source})"
-
-    def renewed(x, t):
-        if method == "multiplicative":
-            below = " + ".join(f"x.{x}{s} * g{t}{s}" for s in ks)
-            return f"x.{x}{t} * y.p{t} / ({below} + {l1} + {l2} * x.{x}{t} + {EPSILON})"
-        terms = " + ".join(f"{'u' if s < t else 'x.' + x}{s} * g{t}{s}" for s in ks)
-        return (
-            f"greatest(0.0, x.{x}{t} - ({terms} + {l2} * x.{x}{t} - y.p{t} + {l1}) / (g{t}{t} + {l2}))"
-        )
 
-    def step(name, x, key, products, factor, g):
-        inner = ", ".join(f"{renewed(x, t)} AS u{t}" for t in ks)
-        outer = ", ".join(f"u{t} AS {x}{t}" for t in ks)
-        return (
-            f"{name} AS MATERIALIZED (SELECT {key}, {outer} FROM (SELECT x.{key} AS {key}, {inner} "
-            f"FROM {factor} x JOIN {products} y ON x.{key} = y.{key}, {g}))"
-        )
-
-    for i in range(1, iterations + 1):
-        p_w = ", ".join(f"sum(value * h{t}) AS p{t}" for t in ks)
-        p_h = ", ".join(f"sum(value * w{t}) AS p{t}" for t in ks)
-        out += [
-            gram(f"gh_{i}", f"h_{i - 1}", "h"),
-            f"pw_{i} AS MATERIALIZED (SELECT v.eid, {p_w} FROM v JOIN h_{i - 1} h ON v.f = h.f GROUP BY v.eid)",
-            step(f"w_{i}", "w", "eid", f"pw_{i}", f"w_{i - 1}", f"gh_{i}"),
-            gram(f"gw_{i}", f"w_{i}", "w"),
-            f"ph_{i} AS MATERIALIZED (SELECT v.f, {p_h} FROM v JOIN w_{i} w ON v.eid = w.eid GROUP BY v.f)",
-            step(f"h_{i}", "h", "f", f"ph_{i}", f"h_{i - 1}", f"gw_{i}"),
+    def half(x, y, rows, source):
+        """The factor ``x`` renewed from the other one: Gram matrix and products, then one component after the other."""
+        grams = ", ".join(f"list_inner_product({y}{a}, {y}{b}) AS g{a}{b}" for a in ks for b in ks)
+        products = ", ".join(f"list_transform({rows}, lambda r: list_inner_product(r, {y}{t})) AS p{t}" for t in ks)
+        now = f"(SELECT *, {grams}, {products} FROM {source})"
+        for t in ks:
+            multiplicative = method == "multiplicative"
+            terms = " + ".join(f"z[{s + 1}] * g{t}{s}" for s in ks)
+            old = f"z[{t + 1}]"
+            if multiplicative:
+                value = f"{old} * z[{k + 1}] / ({terms} + {l1} + {l2} * {old} + {EPSILON})"
+            else:
+                value = f"greatest(0.0, {old} - ({terms} + {l2} * {old} - z[{k + 1}] + {l1}) / (g{t}{t} + {l2}))"
+            zipped = ", ".join(f"{'u' if s < t and not multiplicative else x}{s}" for s in ks)
+            now = f"(SELECT *, list_transform(list_zip({zipped}, p{t}), lambda z: {value}) AS u{t} FROM {now})"
+        return now
+
+    kept = lambda x, name: ", ".join(f"{name}{t} AS {x}{t}" for t in ks)
+    ws, hs = ", ".join(f"w{t}" for t in ks), ", ".join(f"h{t}" for t in ks)
+    first = f"(SELECT i, vr, vc, {kept('w', 'u')}, {hs} FROM {half('w', 'h', 'vr', f'(SELECT * FROM rounds, cells_in_lists WHERE i < {iterations})')})"
+    return ", ".join(
+        [
+            f'v AS MATERIALIZED (SELECT eid, "featureName" AS f, value FROM {source})',
+            "people AS MATERIALIZED (SELECT eid, row_number() OVER (ORDER BY eid) AS p FROM (SELECT DISTINCT eid FROM v))",
+            "names AS MATERIALIZED (SELECT f, row_number() OVER (ORDER BY f) AS q FROM (SELECT DISTINCT f FROM v))",
+            "every_cell AS MATERIALIZED (SELECT p, q, coalesce(value, 0.0)::DOUBLE AS x FROM people CROSS JOIN names LEFT JOIN v ON v.eid = people.eid AND v.f = names.f)",
+            "cells_in_lists AS MATERIALIZED (SELECT (SELECT list(r ORDER BY p) FROM (SELECT p, list(x ORDER BY q) AS r FROM every_cell GROUP BY p)) AS vr, "
+            "(SELECT list(r ORDER BY q) FROM (SELECT q, list(x ORDER BY p) AS r FROM every_cell GROUP BY q)) AS vc)",
+            f"rounds AS (SELECT 0 AS i, * FROM (SELECT {w0} FROM people), (SELECT {h0} FROM names) UNION ALL "
+            f"SELECT i + 1 AS i, {ws}, {kept('h', 'u')} FROM {half('h', 'w', 'vc', first)})",
+            f"last_round AS MATERIALIZED (SELECT * FROM rounds WHERE i = {iterations})",
+            f"w_last AS MATERIALIZED (SELECT eid, {', '.join(f'w{t}[p] AS w{t}' for t in ks)} FROM people, last_round)",
+            f"h_last AS MATERIALIZED (SELECT f, {', '.join(f'h{t}[q] AS h{t}' for t in ks)} FROM names, last_round)",
         ]
-    return ", ".join(out)
+    )
 
 
 def _factors(**options) -> str:
-    return _with(CODED).rstrip() + ", " + _factor_ctes(**options) + " "
+    return _with(CODED, recursive=True).rstrip() + ", " + _factor_ctes(**options) + " "
 
 
-LAST_W, LAST_H = f"w_{ITERATIONS}", f"h_{ITERATIONS}"
+LAST_W, LAST_H = "w_last", "h_last"
 W_ROWS = f"SELECT eid, {', '.join(_r(f'w{t}') for t in range(K))} FROM {LAST_W}"
 H_ROWS = f"SELECT f AS \"featureName\", {', '.join(_r(f'h{t}') for t in range(K))} FROM {LAST_H}"
 WEIGHTS = (
@@ -223,16 +218,8 @@ def _weights() -> str:
 
 
 def _error_rows() -> str:
-    parts = []
-    for i in range(1, ITERATIONS + 1):
-        wh = " + ".join(f"w{t} * h{t}" for t in range(K))
-        # (V - WH)² over all cells = over the stored ones + (WH)² over the others
-        parts.append(
-            f"SELECT {i} AS iteration, 0.5 * sum((coalesce(value, 0) - ({wh})) ** 2) AS e "
-            f"FROM (SELECT w.eid, h.f, {', '.join(f'w{t}, h{t}' for t in range(K))} FROM w_{i} w, h_{i} h) c "
-            "LEFT JOIN v ON v.eid = c.eid AND v.f = c.f"
-        )
-    return " UNION ALL ".join(parts)
+    wh = " + ".join(f"w{t}[p] * h{t}[q]" for t in range(K))
+    return f"SELECT i AS iteration, 0.5 * sum((x - ({wh})) ** 2) AS e FROM rounds, every_cell WHERE i > 0 GROUP BY i"
 
 
 def _counts_by_threshold() -> str:
@@ -505,13 +492,13 @@ def oracle_sql() -> dict[str, str]:
             CODED,
             variances.format(t="entries"),
             'chosen AS (SELECT e.* FROM entries e JOIN var USING ("featureName") WHERE variance > 0.99 * (1 - 0.99))',
-            _factor_ctes(k=4, iterations=5, source="chosen"),
-            'strongest AS (SELECT eid, greatest(w0, w1, w2, w3) AS top, w0, w1, w2 FROM w_5)',
+            _factor_ctes(k=4, source="chosen"),
+            'strongest AS (SELECT eid, greatest(w0, w1, w2, w3) AS top, w0, w1, w2 FROM w_last)',
             "labels AS (SELECT eid, CASE WHEN w0 = top OR top IS NULL THEN 0 WHEN w1 = top THEN 1 WHEN w2 = top THEN 2 ELSE 3 END AS label "
             "FROM (SELECT DISTINCT eid FROM bought) LEFT JOIN strongest USING (eid))",
             "brands AS (SELECT * FROM coded WHERE category = 'CANCER')",
             "selected AS ("
-            + " UNION ALL ".join(f'SELECT {t} AS label, f AS "featureName" FROM h_5 WHERE h{t} > 0.5' for t in range(4))
+            + " UNION ALL ".join(f'SELECT {t} AS label, f AS "featureName" FROM h_last WHERE h{t} > 0.5' for t in range(4))
             + ")",
             PERCENT,
         )

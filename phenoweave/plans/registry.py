@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,7 +31,6 @@ from phenoweave.sources import delimited, lookups, tall as tall_files
 
 DIGITS = 6
 NMF_K = 3
-NMF_ITERATIONS = 3
 CATEGORY_BY_FIELD = {"brand": "cancer", "type": "noncan"}
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -409,7 +407,7 @@ def _h_start(key, width):
 
 
 def _factors(spark, d, **options):
-    options = {"max_iter": NMF_ITERATIONS, "w_start": _w_start, "h_start": _h_start, **options}
+    options = {"w_start": _w_start, "h_start": _h_start, **options}
     return nmf.factorize(roles.quantities(spark, d), NMF_K, **options)
 
 
@@ -633,9 +631,7 @@ def grid_pivot(spark, d):
 
 def silhouette_chart(spark, d):
     """Chart rows for every k that the sweep draws."""
-    entries = roles.quantities(spark, d)
-    charts = [sweeps.silhouette_chart(entries, k).withColumn("k", F.lit(k)) for k in sweeps.OPTIMAL_KS]
-    return reduce(DataFrame.unionByName, charts)
+    return sweeps.silhouette_charts(roles.quantities(spark, d))
 
 
 def best_brand(spark, d):
@@ -650,7 +646,7 @@ def phenotypes(spark, d):
     every = features.matrix_entries(coded)
     people = every.select("eid").distinct()  # before selection, which may leave some without entries
     entries = features.variance_select(every, 0.99)
-    factors = nmf.factorize(entries, 4, max_iter=5, w_start=_w_start, h_start=_h_start)
+    factors = nmf.factorize(entries, 4, w_start=_w_start, h_start=_h_start)
     labels = nmf.assign(factors, people)
     strong = components.strong_features(nmf.component_weights(factors), 0.5)
     decode = roles.meanings(spark, d).where(F.col("field") == "brand")

@@ -1,8 +1,11 @@
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phenoweave.operators import clusters, features, matrix, nmf, quality, stability, svd, sweeps
+from phenoweave.functions.arrays import hashed_units
+from phenoweave.operators import blocks, clusters, ensemble, features, matrix, nmf, quality, stability, svd, sweeps
 
 ENTRY = "eid string, featureName string, value double"
 
@@ -88,7 +91,8 @@ def test_updates_match_dense_algebra(spark, random, method, l1, l2):
 def test_iterations_do_not_shuffle_entries_or_person_factor(spark, random):
     """Both stay where they are; only sums per feature move."""
     m = matrix.hold(to_entries(spark, random))
-    out = nmf.factorize_held(m, 2, max_iter=2)
+    start = nmf._start_tables(m, 2, partial(hashed_units, 0), partial(hashed_units, 1))
+    out = nmf.joined_rounds(m, 2, start, 2, 0.0)
     layout = out.w._jdf.queryExecution().executedPlan().outputPartitioning().toString()
     assert layout.startswith("hashpartitioning(eid")
     step = matrix.column_products(m, out.w, 2)._jdf.queryExecution().executedPlan().toString()
@@ -270,17 +274,150 @@ def test_dissimilarity(spark, random):
     assert stability.dissimilarity(w, noise, 3, halved=True).first()[0] == pytest.approx(expected / 2)
 
 
-def test_total_dissimilarity_over_batches(spark, random, monkeypatch):
-    monkeypatch.setattr(stability, "BATCH_COLUMNS", 4)
-    m = matrix.hold(to_entries(spark, random))
-    batches = stability.repeated_runs(m, 2, runs=3, max_iter=2)
-    assert [b.runs for b in batches] == [2, 1]
-    runs = [batches[0].run(0), batches[0].run(1), batches[1].run(0)]
-    expected = sum(stability.dissimilarity(a.w, b.w, 2).first()[0] for a in runs for b in runs)
-    assert stability.total_dissimilarity(batches, 2) == pytest.approx(expected, abs=1e-6)
-    best = stability.best_factors(batches)
-    assert best.half_squared_error == min(stability.run_errors(batches))
-    m.release()
+@pytest.mark.parametrize("persons", [4096, 11])
+def test_stability_equals_dense_runs(spark, random, monkeypatch, persons):
+    """Every run, its errors, all pairs of runs and the pick, against plain numpy; in one block and in several."""
+    monkeypatch.setattr(blocks, "BLOCK_PERSONS", persons)
+    monkeypatch.setattr(blocks, "FAN", 2)
+    monkeypatch.setattr(ensemble, "GROUP_COLUMNS", 4)
+    names, features_ = [f"p{i:03d}" for i in range(40)], [f"f{j:02d}" for j in range(9)]
+    found, expected, least = {}, {}, {}
+    with matrix.held(to_entries(spark, random)) as m:
+        done = stability.repeated_runs(m, (2, 3), runs=3, max_iter=5)
+        for k in (2, 3):
+            runs = []
+            for r in range(3):
+                setting = [ensemble.Setting(k, seed=r)]
+                w, h = ensemble.drawn(names, setting, 0)[0], ensemble.drawn(features_, setting, 1)[0]
+                runs.append(numpy_rounds(random, w, h.T.copy(), 5, "multiplicative", 0, 0))
+            c = [[np.corrcoef(a[0].T, b[0].T)[:k, k:] for b in runs] for a in runs]
+            expected[k] = sum(abs(2 * k - x.max(0).sum() - x.max(1).sum()) / k for row in c for x in row)
+            least[k] = min(runs, key=lambda r: ((random - r[0] @ r[1]) ** 2).sum())
+        totals = stability.total_dissimilarity(done)
+        assert totals == pytest.approx(expected, abs=1e-7)
+        assert stability.total_dissimilarity(done, halved=True) == pytest.approx({k: v / 2 for k, v in expected.items()}, abs=1e-7)
+        for k in (2, 3):
+            best = stability.best_factors(done, k)
+            assert np.allclose(dense(best.w, "eid", "w"), least[k][0]) and np.allclose(dense(best.h, "featureName", "h").T, least[k][1])
+            assert np.isclose(best.half_squared_error, 0.5 * ((random - least[k][0] @ least[k][1]) ** 2).sum())
+    table = {r["k"]: r["dissimilarity"] for r in stability.stability_table(to_entries(spark, random), (2, 3), runs=3, max_iter=5).collect()}
+    assert table == pytest.approx(expected, abs=1e-7)
+
+
+def settled_rounds(v, k, alpha, ratio, share, most=200):
+    """Dense coordinate descent that ends by its projected gradient."""
+    w, h = nndsvd(v, k)
+    l1, l2, first = alpha * ratio, alpha * (1 - ratio), None
+    for n in range(1, most + 1):
+        size = 0.0
+        for x, y, t in ((w, h.T, v), (h.T, w, v.T)):
+            product, g = t @ y, y.T @ y + l2 * np.eye(k)
+            for c in range(k):
+                slope = x @ g[:, c] - product[:, c] + l1
+                size += np.abs(np.where(x[:, c] > 0, slope, np.minimum(slope, 0))).sum()
+                if g[c, c] > 0:
+                    x[:, c] = np.maximum(0, x[:, c] - slope / g[c, c])
+        first = first or size
+        if size <= share * first:
+            break
+    return w, h, n
+
+
+@pytest.mark.parametrize("persons, share", [(4096, 1e-3), (11, 0.1)])
+def test_settings_equal_dense_descent(spark, random, monkeypatch, persons, share):
+    """Rounds and factors of many settings in one run, against one dense descent each; in one block and in several."""
+    monkeypatch.setattr(blocks, "BLOCK_PERSONS", persons)
+    entries = to_entries(spark, random)
+    settings = [(k, a, r) for k in (2, 4) for a in (0.0, 0.3) for r in (0.0, 1.0)]
+    with matrix.held(entries) as m:
+        rounds = []
+        for e, places in nmf.regularized_all(m, settings, relative_stop=share):
+            for i, place in enumerate(places):
+                w, h, n = settled_rounds(random, *settings[place], share)
+                mine = nmf.factors_of(e, [i])
+                assert len(e.errors[i]) == n
+                assert np.allclose(dense(mine.w, "eid", "w"), w, atol=1e-7) and np.allclose(e.weights(i).T, h, atol=1e-7)
+                rounds.append(n)
+        assert len(set(rounds)) > 2 and max(rounds) < 200
+
+
+def test_searches_equal_dense_descent(spark, random):
+    """Grid figures, silhouettes and chart rows of the default searches, against one dense descent per setting."""
+    entries = to_entries(spark, random)
+    grid = sweeps.grid_search(entries, (2, 4), (0.0, 0.3), (0.0, 1.0), threshold=0.5, relative_stop=1e-3).collect()
+    for r in grid:
+        w, h, _ = settled_rounds(random, r["k"], r["alpha"], r["l1_ratio"], 1e-3)
+        assert (r["num_labels"], r["avg_nonzero_feature_count"]) == (len(set(w.argmax(1))), (h > 0.5).sum(1).mean())
+    curve = {r["k"]: r["silhouette_avg"] for r in sweeps.silhouette_by_k(entries, (2, 4, 5)).collect()}
+    charts = sweeps.silhouette_charts(entries, (2, 4, 5)).collect()
+    assert len(charts) == 120
+    for k in (2, 4, 5):
+        labels = settled_rounds(random, k, 0.0, 0.0, 1e-4)[0].argmax(1)
+        scores = brute(random, labels, "cosine")
+        assert curve[k] == pytest.approx(np.mean(scores))
+        own = sorted((r for r in charts if r["k"] == k), key=lambda r: r["eid"])
+        assert [r["label"] for r in own] == labels.tolist() and np.allclose([r["silhouette"] for r in own], scores)
+        heights = sorted((label, s, r["eid"], r["y"]) for label, s, r in zip(labels, [r["silhouette"] for r in own], own, strict=True))
+        gaps = {c: (i + 1) * sweeps.CHART_GAP for i, c in enumerate(sorted(set(labels)))}
+        assert [y for *_, y in heights] == [n + gaps[c] for n, (c, *_) in enumerate(heights)]
+    assert sweeps.optimal_k(entries, (2, 4, 5)).first()["k"] == max(curve, key=curve.get)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "sqeuclidean"])
+def test_scores_of_many_labellings_equal_single_ones(spark, random, metric):
+    a = random.copy()
+    a[3] = 0
+    entries = to_entries(spark, a, keep_zeros=True)
+    with matrix.held(entries) as m:
+        for e, _ in nmf.regularized_all(m, [(1, 0.0, 0.0), (3, 0.0, 0.0)], max_iter=3):
+            table = ensemble.silhouettes(e, metric)
+            for i in range(2):
+                labels = nmf.assign(nmf.factors_of(e, [i]))
+                single = {r["eid"]: r["silhouette"] for r in quality.silhouette_persons(m, labels, metric).collect()}
+                mine = {r["eid"]: r["silhouette"] for r in table.where(F.col("setting") == i).collect()}
+                assert mine.keys() == single.keys()
+                assert all(v is None if single[p] is None else abs(v - single[p]) < 1e-9 for p, v in mine.items())
+
+
+@pytest.mark.parametrize("cells, share", [(1 << 18, 8), (0, 0)])
+def test_products_of_a_block(random, monkeypatch, cells, share):
+    monkeypatch.setattr(blocks, "DENSE_CELLS", cells)
+    monkeypatch.setattr(blocks, "DENSE_SHARE", share)
+    monkeypatch.setattr(blocks, "SPARSE_CELLS", 300)
+    at = [np.flatnonzero(row) for row in random]
+    rows_ = blocks.Rows(np.cumsum([0] + [len(x) for x in at]), np.concatenate(at), random[random != 0], 9)
+    assert (rows_.dense is None) == (cells == 0)
+    right, left = np.arange(45.0).reshape(9, 5), np.arange(120.0).reshape(40, 3)
+    assert np.allclose(rows_.times(right), random @ right) and np.allclose(rows_.transposed_times(left), random.T @ left)
+    assert np.allclose(np.linalg.norm(rows_.unit().times(np.eye(9)), axis=1), 1)
+
+
+def test_blocks_and_carried_entries_change_no_number(spark, random, monkeypatch):
+    """Entries that travel with a wide factor, entries that stay, and another number of partitions: the very same numbers."""
+    monkeypatch.setattr(blocks, "BLOCK_PERSONS", 6)
+    settings = [ensemble.Setting(2, seed=1), ensemble.Setting(2, seed=2)]
+    rules = ensemble.Rules("multiplicative", 4, 0.0, None)
+    out = []
+    for parts, per_person in ((1, 0.0), (5, 1e9)):
+        with matrix.held(to_entries(spark, random).repartition(parts)) as m:
+            laid = blocks.lay_out(m)
+            laid.entries_per_person = per_person
+            e = ensemble.factorize_all(m, settings, rules, None, laid)
+            assert laid.count > 3
+            out.append((dense(e.person_factor([0, 1]), "eid", "w"), dense(e.feature_factor([0, 1]), "featureName", "h"), e.errors))
+    assert np.array_equal(out[0][0], out[1][0]) and np.array_equal(out[0][1], out[1][1]) and out[0][2] == out[1][2]
+
+
+def test_joined_rounds_equal_blocks(spark, random):
+    with matrix.held(to_entries(spark, random)) as m:
+        start = nmf._start_tables(m, 3, partial(hashed_units, 0), partial(hashed_units, 1))
+        joined, packed = nmf.joined_rounds(m, 3, start, 3, 0.0), nmf.factorize_held(m, 3, max_iter=3)
+        assert np.allclose(dense(joined.w, "eid", "w"), dense(packed.w, "eid", "w")) and np.allclose(joined.errors, packed.errors)
+
+
+def test_no_entries_give_empty_factors(spark):
+    out = nmf.factorize(spark.createDataFrame([], ENTRY), 2, max_iter=3)
+    assert out.w.count() == 0 and out.h.count() == 0
 
 
 def test_picks():

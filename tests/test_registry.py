@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from phenoweave.operators import nmf, stability, sweeps
 from phenoweave.plans import registry, roles
@@ -13,6 +12,7 @@ WHOLE = [
     (registry.k_vs_silhouette, sweeps, "silhouette_by_k", (), {}),
     (registry.optimal_k, sweeps, "optimal_k", (), {}),
     (registry.grid_search, sweeps, "grid_search", (), {}),
+    (registry.silhouette_chart, sweeps, "silhouette_charts", (), {}),
 ]
 
 
@@ -31,8 +31,3 @@ def test_searches_without_sql_run_the_defaults(monkeypatch, query, module, name,
         query(None, None)
     assert call.value.args == (given, options)
 
-
-def test_silhouette_chart_draws_every_k(spark, monkeypatch):
-    monkeypatch.setattr(roles, "quantities", lambda spark, d: None)
-    monkeypatch.setattr(sweeps, "silhouette_chart", lambda entries, k, **options: spark.range(1).select(F.lit(len(options)).alias("options")))
-    assert [tuple(r) for r in registry.silhouette_chart(spark, None).orderBy("k").collect()] == [(0, k) for k in range(2, 21, 4)]
