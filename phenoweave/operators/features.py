@@ -15,7 +15,7 @@ from phenoweave.functions.names import PERSON
 from phenoweave.operators.numbering import number_rows
 from phenoweave.operators.setops import bag_union
 from phenoweave.operators.sizing import measured
-from phenoweave.session import cut_lineage, ensure_checkpoint_dir
+from phenoweave.session import cut_lineage, ensure_checkpoint_dir, stored
 
 # Fixed values.
 TOP_MEDICATIONS = 500
@@ -33,16 +33,16 @@ def numeric_rows(tall: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def person_means(tall: DataFrame, fields: DataFrame) -> DataFrame:
-    """Numeric features averaged per person, categorical rows as they are."""
-    known = measured(fields.select(F.col("field").alias("featureName")).distinct())
+    """Numeric features averaged per person, categorical rows as they are; the input is evaluated once."""
+    known = measured(fields.select(F.col("field").alias("featureName")).distinct().withColumn("_numeric", F.lit(True)))
     columns = [PERSON, "category", "featureName", "featureValue"]
+    told = stored(tall.join(known, "featureName", "left").select(*columns, "_numeric"), "told-apart")
     means = (
-        tall.join(known, "featureName", "left_semi")
+        told.where("_numeric")
         .groupBy(PERSON, "category", "featureName")
         .agg(F.avg("featureValue").alias("featureValue"))
     )
-    rest = tall.join(known, "featureName", "left_anti")
-    return bag_union(rest.select(*columns), means.select(*columns))
+    return bag_union(told.where("_numeric IS NULL").select(*columns), means.select(*columns))
 
 
 def keep_most_common(tall: DataFrame, n: int = TOP_MEDICATIONS) -> DataFrame:
@@ -65,8 +65,9 @@ def model_features(
     person_mean_categories: tuple[str, ...] = ("Demographic", "Lifestyle", "PhysicalMeasure"),
     n: int = TOP_MEDICATIONS,
 ) -> DataFrame:
-    """Rows for the matrix: common medications, coded diseases whole, numeric measures averaged."""
+    """Rows for the matrix: common medications, coded diseases whole, numeric measures averaged; the input is evaluated once."""
     columns = [PERSON, "category", "featureName", "featureValue"]
+    tall = stored(tall.select(*columns), "model-rows")
     category = F.col("category")
     averaged = category.isin(*person_mean_categories)
     return bag_union(

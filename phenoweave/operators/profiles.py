@@ -124,11 +124,12 @@ def cluster_percentages(
     """
     # One row per person and feature first: the distinct counts below then are plain counts.
     holders = cut_lineage(with_label(tall, labels).select(PERSON, "label", "featureName").distinct())
-    in_cluster = measured(holders.groupBy("label", "featureName").agg(F.count("*").alias("held")))
+    in_cluster = cut_lineage(holders.groupBy("label", "featureName").agg(F.count("*").alias("held")))
+    chosen = measured(selected.select("label", "featureName").distinct())
     in_population = in_cluster.groupBy("featureName").agg(F.sum("held").alias("held_all"))
     sizes = holders.select(PERSON, "label").distinct().groupBy("label").agg(F.count("*").alias("persons"))
     return (
-        in_cluster.join(selected.select("label", "featureName").distinct(), ["label", "featureName"], "left_semi")
+        in_cluster.join(chosen, ["label", "featureName"], "left_semi")
         .join(sizes, "label")
         .join(in_population, "featureName")
         .withColumn("code", code_part("featureName"))

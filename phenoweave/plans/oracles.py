@@ -326,7 +326,9 @@ def oracle_sql() -> dict[str, str]:
         + COUNTED.format(by="category", item='"featureName"')
     )
     common = (
-        "common AS (SELECT \"featureName\" FROM coded WHERE category = 'Medication' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20)"
+        "items AS (SELECT CAST(o_custkey AS VARCHAR) AS eid, 'Medication' AS category, 'item=' || l_partkey AS \"featureName\", 1.0::DOUBLE AS \"featureValue\" "
+        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey), "
+        "common AS (SELECT \"featureName\" FROM items GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 500)"
     )
     person_means = (
         "averaged AS (SELECT eid, category, \"featureName\", \"featureValue\" FROM clean WHERE category = 'Demographic' "
@@ -394,12 +396,12 @@ def oracle_sql() -> dict[str, str]:
         "UNION ALL SELECT 'pct_rare', category, NULL, round(p, 6) FROM rare",
         "categorical_features": base + f"SELECT {TALL_COLUMNS} FROM typed WHERE category = 'Demographic'",
         "numeric_person_mean": base.rstrip() + ", " + person_means + f" SELECT {ROUNDED_TALL} FROM averaged",
-        "top500_keep": _with(CODED, common)
-        + 'SELECT eid, "featureName", count(*) AS rows FROM coded WHERE category = \'Medication\' '
-        'AND "featureName" IN (SELECT "featureName" FROM common) GROUP BY ALL',
+        "top500_keep": _with(common)
+        + 'SELECT eid, "featureName", count(*) AS rows FROM items WHERE "featureName" IN (SELECT "featureName" FROM common) GROUP BY ALL',
         "feature_union": _with(WIDE, _clean(), CODED, common, person_means)
         + 'SELECT eid, category, "featureName", count(*) AS rows, round(sum("featureValue"), 6) AS total FROM ('
-        f"SELECT {TALL_COLUMNS} FROM coded WHERE category <> 'Medication' OR \"featureName\" IN (SELECT \"featureName\" FROM common) "
+        f"SELECT {TALL_COLUMNS} FROM coded WHERE category <> 'Medication' UNION ALL "
+        f"SELECT {TALL_COLUMNS} FROM items WHERE \"featureName\" IN (SELECT \"featureName\" FROM common) "
         f"UNION ALL SELECT {TALL_COLUMNS} FROM averaged) GROUP BY eid, category, \"featureName\"",
         "feature_frequency": _with(CODED)
         + 'SELECT "featureName", round(sum(value), 6) AS frequency FROM quantities GROUP BY 1',
@@ -501,6 +503,7 @@ def oracle_sql() -> dict[str, str]:
             + " UNION ALL ".join(f'SELECT {t} AS label, f AS "featureName" FROM h_last WHERE h{t} > 0.5' for t in range(4))
             + ")",
             PERCENT,
+            recursive=True,
         )
         + f"SELECT meaning, label, {_r('c', 'percentFeatureInCluster')}, {_r('p', 'percentFeatureInPop')} FROM shares",
         "best_brand": _with(CODED)

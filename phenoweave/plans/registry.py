@@ -26,7 +26,7 @@ from phenoweave.operators import (
     sweeps,
 )
 from phenoweave.plans import roles
-from phenoweave.session import cut_lineage, ensure_checkpoint_dir
+from phenoweave.session import cut_lineage, ensure_checkpoint_dir, stored
 from phenoweave.sources import delimited, lookups, tall as tall_files
 
 DIGITS = 6
@@ -235,13 +235,13 @@ def numeric_person_mean(spark, d):
 
 
 def top500_keep(spark, d):
-    medication = roles.coded(spark, d).where(F.col("category") == "Medication")
-    kept = features.keep_most_common(medication, 20)
+    kept = features.keep_most_common(roles.items(spark, d))
     return kept.groupBy("eid", "featureName").agg(F.count("*").alias("rows"))
 
 
 def feature_union(spark, d):
-    rows = features.model_features(_all_rows(spark, d), dict_fields(spark, d), n=20)
+    others = _all_rows(spark, d).where(F.col("category") != "Medication")
+    rows = features.model_features(setops.bag_union(others, roles.items(spark, d)), dict_fields(spark, d))
     return rounded(
         rows.groupBy("eid", "category", "featureName").agg(
             F.count("*").alias("rows"), F.sum("featureValue").alias("total")
@@ -305,13 +305,14 @@ def cluster_profile(spark, d):
 
 
 def _percentages(spark, d):
-    coded = roles.coded(spark, d).where(F.col("category") == "CANCER")
+    every = stored(roles.coded(spark, d).select("eid", "category", "featureName", "featureValue"), "coded")
+    coded = every.where(F.col("category") == "CANCER")
     labels = roles.assignment(spark, d)
     chosen = profiles.top_codes(coded, labels, _fields_table(spark)).select(
         "label", F.concat(F.lit("brand="), "code").alias("featureName")
     )
     decode = roles.meanings(spark, d).where(F.col("field") == "brand")
-    persons = roles.coded(spark, d).agg(F.countDistinct("eid")).first()[0]
+    persons = every.agg(F.countDistinct("eid")).first()[0]
     return profiles.cluster_percentages(coded, labels, chosen, decode, persons)
 
 
@@ -642,8 +643,8 @@ def best_brand(spark, d):
 
 def phenotypes(spark, d):
     """From purchases to phenotypes: matrix, factorization, assignment, decoded shares."""
-    coded = roles.coded(spark, d)
-    every = features.matrix_entries(coded)
+    coded = stored(roles.coded(spark, d), "coded")
+    every = stored(features.matrix_entries(coded), "entries")
     people = every.select("eid").distinct()  # before selection, which may leave some without entries
     entries = features.variance_select(every, 0.99)
     factors = nmf.factorize(entries, 4, w_start=_w_start, h_start=_h_start)

@@ -148,6 +148,19 @@ def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long rows of a coded feature with many codes: the part of every order line, as a medication."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    return lines.select(
+        F.col("o_custkey").cast("string").alias("eid"),
+        F.lit("Medication").alias("category"),
+        F.concat(F.lit("item="), "l_partkey").alias("featureName"),
+        F.lit(1.0).alias("featureValue"),
+    )
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrix entries of the coded features."""
     from phenoweave.operators.features import matrix_entries
