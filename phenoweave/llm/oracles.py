@@ -40,6 +40,31 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS compon
 """
 
 
+TRIE = r"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+    {'r': coalesce(role, ''), 't': coalesce(text, '')} AS u FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT c, list(u ORDER BY k) AS us FROM turns GROUP BY c),
+heads AS (
+  SELECT *, (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) % 6 AS h FROM own
+), rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.us, [])[1:a.h], a.us[a.h + 1:]) AS us FROM heads a LEFT JOIN own b ON b.c = a.c - a.c % 100
+), members AS (SELECT c, len(us) AS l, unnest(range(len(us) + 1)) AS d, us FROM rebuilt),
+nodes AS (
+  SELECT d, us[1:d] AS path, min(c) AS conv_id, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE l = d) AS ends FROM members GROUP BY d, us[1:d]
+), children AS (SELECT d - 1 AS d, path[1:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, (n - 1) * CASE WHEN nodes.d > 0 THEN length(nodes.path[-1].t) ELSE 0 END AS own
+  FROM nodes LEFT JOIN children ON children.d = nodes.d AND children.path = nodes.path
+), below AS (SELECT unnest(range(d + 1)) AS a, path, n_children, own FROM known),
+sums AS (SELECT a AS d, path[1:a] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own) AS saved FROM below GROUP BY a, path[1:a])
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(k.n AS BIGINT) AS n_convs, CAST(k.n_children AS BIGINT) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(k.ends, '')) AS ends_sha256
+FROM known k JOIN sums s ON s.d = k.d AND s.path = k.path LEFT JOIN nodes up ON up.d = k.d - 1 AND up.path = k.path[1:k.d - 1]
+"""
+
+
 def _secrets_sql() -> str:
     parts = []
     for place, rule in enumerate(secrets.RULES):
@@ -120,4 +145,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_jaccard": JACCARD,
         "op9_secret_scans": _secrets_sql(),
         "op10_quality_rules": _rules_sql(),
+        "op13_prefix_trie": TRIE,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenoweave.llm import jaccard, langid, oracles, packing, quality_classifier, quality_rules, secrets, sp_encode, token_counts, topk, toxicity
+from phenoweave.llm import jaccard, langid, oracles, packing, prefix_trie, quality_classifier, quality_rules, secrets, sp_encode, token_counts, topk, toxicity
 from phenoweave.llm.common import held_out
 from phenoweave.session import shared_folder
 
@@ -96,6 +96,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id").cast("long")
+    head = F.crc32(conv.cast("string").cast("binary")) % 6
+    return prefix_trie.prefix_trie(prefix_trie.paths(table(spark, sf_dir, "conversations"), conv - conv % 100, head))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -108,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_secret_scans": op9_secret_scans,
         "op10_quality_rules": op10_quality_rules,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
