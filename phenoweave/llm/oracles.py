@@ -40,6 +40,33 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS compon
 """
 
 
+SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), q AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark
+), asked AS (SELECT i, item_id, unnest(ts) AS t FROM q),
+word AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM d),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM word GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+every AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS tokens FROM d WHERE len(ts) > 0),
+scored AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // tokens)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (t) JOIN df USING (t), every GROUP BY ALL
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+LINES = r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+line AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS pos FROM t),
+keyed AS (SELECT *, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+shared AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+told AS (SELECT k.*, (s.key IS NOT NULL AND k.doc_id <> s.keeper) AS gone FROM keyed k LEFT JOIN shared s ON s.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id
+"""
+
 TRIE = r"""
 WITH turns AS (
   SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
@@ -145,5 +172,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_jaccard": JACCARD,
         "op9_secret_scans": _secrets_sql(),
         "op10_quality_rules": _rules_sql(),
+        "op11_lexical_search": SEARCH,
+        "op12_line_dedup": LINES,
         "op13_prefix_trie": TRIE,
     }

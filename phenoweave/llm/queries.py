@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenoweave.llm import jaccard, langid, oracles, packing, prefix_trie, quality_classifier, quality_rules, secrets, sp_encode, token_counts, topk, toxicity
+from phenoweave.llm import jaccard, langid, lexical_search, line_dedup, oracles, packing, prefix_trie, quality_classifier, quality_rules, secrets, sp_encode, token_counts, topk, toxicity
 from phenoweave.llm.common import held_out
 from phenoweave.session import shared_folder
 
@@ -96,6 +96,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.col("conv_id").cast("long")
     head = F.crc32(conv.cast("string").cast("binary")) % 6
@@ -114,6 +123,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_secret_scans": op9_secret_scans,
         "op10_quality_rules": op10_quality_rules,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_line_dedup": op12_line_dedup,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
