@@ -47,13 +47,13 @@ def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, ("text",)):
             out = []
-            for text in frame["text"]:
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 found = term_hashes(text)
                 at = np.minimum(np.searchsorted(held.value, found), max(0, len(held.value) - 1))
                 at = at[held.value[at] == found] if len(held.value) else at[:0]
                 own, times = np.unique(at, return_counts=True)
-                out.append((len(found), own.astype(np.int32).tobytes(), times.astype(np.int32).tobytes()))
-            yield pd.concat([frame[["doc_id"]], pd.DataFrame(out, columns=["n", "terms", "counts"])], axis=1)
+                out.append((doc_id, len(found), own.astype(np.int32).tobytes(), times.astype(np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "terms", "counts"])
 
     # Ids travel as text, since a null among them would make pandas turn them into doubles.
     plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -109,7 +109,7 @@ class Shard:
         first = np.cumsum(sizes) - sizes
         return np.arange(len(owner)) - first[owner] + self.starts[docs][owner], owner
 
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    def best(self, terms: np.ndarray, weights: np.ndarray, k: int, scratch: np.ndarray, block: int = FIRST_READ) -> tuple[np.ndarray, np.ndarray, int]:
         """Documents and scores of the best ``k`` above 0, and more on equal terms; how many were scored.
 
         ``scratch`` holds -1 for every term and is given back so.
@@ -123,7 +123,7 @@ class Shard:
         scratch[terms] = np.arange(len(terms))
         marks = [np.zeros(length, bool) for length in lengths]
         met = np.zeros(len(self.ids), bool)
-        best, read, block = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64), FIRST_READ
+        best, read = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
         while True:
             parts = []
             for i, term in enumerate(terms):
@@ -165,7 +165,7 @@ class Shard:
 
 def _searched(held: DataFrame, queries: Queries, n_terms: int, docs: int, tokens: int, k: int) -> DataFrame:
     """``query, doc_id, score``: the best ``k`` documents of every shard for every query."""
-    asked = held.sparkSession.sparkContext.broadcast(queries)
+    asked, most = held.sparkSession.sparkContext.broadcast(queries), SHARD_POSTINGS
 
     def answers(part: list[pd.DataFrame]) -> pd.DataFrame:
         frame = pd.concat(part, ignore_index=True)
@@ -179,14 +179,14 @@ def _searched(held: DataFrame, queries: Queries, n_terms: int, docs: int, tokens
                 rows["query"].append(number)
                 rows["doc_id"].append(shard.ids[found[j]])
                 rows["score"].append(int(score[j]))
-        return pd.DataFrame(rows)
+        return pd.DataFrame(rows, dtype=object)  # an empty column of strings cannot be handed on
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, size = [], 0
         for frame in frames:
             part.append(frame)
             size += int(frame["terms"].map(len).sum()) // 4
-            if size >= SHARD_POSTINGS:
+            if size >= most:
                 yield answers(part)
                 part, size = [], 0
         if part:

@@ -159,7 +159,7 @@ class _Rows:
         return out
 
 
-def _nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _nodes(frames: Iterator[pd.DataFrame], chunk: int) -> Iterator[pd.DataFrame]:
     """The nodes of a shard from its sorted paths: parts of kind _PART, and the ids of sequences that end there."""
     from pyspark import TaskContext
 
@@ -202,7 +202,7 @@ def _nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             node = stack[-1]
             node[2], node[3] = node[2] + 1, min(node[3], conv_id)
             node[5].append(conv_id)
-            if len(node[5]) >= CHUNK:
+            if len(node[5]) >= chunk:
                 ids(len(stack) - 1, node)
             path = now
             if out.full():
@@ -312,9 +312,9 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     held = stored(paths.select("conv_id", "path"), "paths")  # ranges are drawn from fixed rows, so a repeated task cuts alike
     turns = (held.agg(F.sum(F.length("path"))).first()[0] or 0) // UNIT + held.count()
     shards = max(1, -(-turns // SHARD_TURNS), min(2 * spark.sparkContext.defaultParallelism, turns // LEAST_TURNS))
-    queue = QUEUE
+    queue, chunk = QUEUE, CHUNK
     cut = held.repartitionByRange(shards, "path", "conv_id").sortWithinPartitions("path", "conv_id")
-    nodes = cut.mapInPandas(_nodes, _SCHEMA).withColumns({"run": F.col("shard"), "low": F.col("shard"), "high": F.col("shard")})
+    nodes = cut.mapInPandas(lambda f: _nodes(f, chunk), _SCHEMA).withColumns({"run": F.col("shard"), "low": F.col("shard"), "high": F.col("shard")})
     parts = stored(nodes.sortWithinPartitions(*_reverse_levels()).mapInPandas(lambda f: _settled(f, False, queue), _SCHEMA), "trie")
     found, tops = parts.where(F.col("kind") == _NODE), []
     runs = (parts.agg(F.max("shard")).first()[0] or 0) + 1
