@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from phenoweave.session import ship_package, stored
 
-#: Tokens that one bucket packs on its own. Larger buckets leave fewer open bins, smaller ones spread better.
-BUCKET_TOKENS = 1 << 20
+#: Tokens that one bucket packs on its own: many more than its open bins hold, so that these are a small share of all.
+BUCKET_TOKENS = 1 << 24
 #: Bins that a bucket holds open at a time.
-OPEN_BINS = 2048
+OPEN_BINS = 128
 
 _PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
@@ -107,11 +107,14 @@ def token_pieces(
 def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = OPEN_BINS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
-    Pieces are dealt by hash into as many buckets as their tokens ask for, and a
-    bucket meets its pieces in the order longest first, so the bins and numbers of a
-    bucket do not depend on how tasks are laid out or repeated. A bucket streams
-    through its task: only the open bins are held, at most ``open_bins``. Offsets
-    are gapless as a bin only grows. An empty table gives an empty one.
+    Bounded-space online best-fit: every piece goes to the open bin that it fits
+    best, and a new bin beyond ``open_bins`` closes the fullest one. Pieces are
+    dealt by hash into as many buckets as their tokens ask for, and a bucket meets
+    its pieces in the order of a hash, as they come by chance but the same however
+    tasks are laid out or repeated. A bucket streams through its task: only the
+    open bins are held. Offsets are gapless as a bin only grows. Repeated pieces
+    are placed each, texts of any length are cut before; an empty table gives an
+    empty one.
     """
     spark = pieces.sparkSession
     ship_package(spark)
@@ -119,7 +122,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = OPEN_BINS, bu
     held = stored(pieces, "pieces")
     total = held.agg(F.sum("length")).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_tokens))
-    dealt = held.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = held.withColumn("_draw", F.xxhash64("doc_id", "piece")).withColumn("_bucket", F.pmod("_draw", F.lit(buckets)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, bins = None, None
@@ -132,6 +135,6 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = OPEN_BINS, bu
                 numbers[k] = (own << 32) | number
             yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(numbers), pa.array(offsets)], [*names, "sequence_id", "offset"])
 
-    ordered = dealt.repartition("_bucket").sortWithinPartitions("_bucket", F.col("length").desc(), "doc_id", "piece")
+    ordered = dealt.repartition("_bucket").sortWithinPartitions("_bucket", "_draw", "doc_id", "piece")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ordered.mapInArrow(place, f"{schema}, sequence_id long, offset long")

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from phenoweave.llm import packing
@@ -58,9 +59,46 @@ def test_few_sequences_and_the_same_for_any_layout(spark):
     runs = [sorted(packing.pack(frame.repartition(n)).collect()) for n in (1, 7)]
     assert runs[0] == runs[1]
     used = check_layout(runs[0], 1024)
-    assert used <= 1.03 * sum(r[3] for r in data) / 1024 + 2
+    assert used <= 1.05 * sum(r[3] for r in data) / 1024 + 2
     split = packing.pack(frame, bucket_tokens=100_000).collect()
-    assert check_layout(split, 1024) <= 1.1 * used
+    assert check_layout(split, 1024) <= 1.2 * used
+
+
+def online(pieces, capacity, open_bins):
+    """Best-fit over a plain list of (number, free): the first of the fullest that fit, the fullest closed beyond the bound."""
+    bins, out, made, closed = [], [], 0, 0
+    for length in pieces:
+        fit = [b for b in bins if b[1] >= length]
+        if fit:
+            number, free = min(fit, key=lambda b: b[1])
+            bins.remove((number, free))
+        else:
+            number, free = made, capacity
+            made += 1
+        out.append((number, capacity - free))
+        if free > length:
+            if len(bins) == open_bins:
+                bins.remove(min(bins, key=lambda b: b[1]))
+                closed += 1
+            bins.append((number, free - length))
+    return out, closed
+
+
+def test_layout_equals_online_best_fit(spark):
+    """Placement of every piece in the order that its bucket meets it, with bins that close; against plain lists."""
+    rng = random.Random(6)
+    data = [(i // 2, i % 2, 0, min(1024, int(rng.paretovariate(0.4) * 20)), 0) for i in range(2000)]
+    frame = spark.createDataFrame(data, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    draws = frame.select("doc_id", "piece", "length", F.xxhash64("doc_id", "piece").alias("draw")).collect()
+    buckets = -(-sum(r[3] for r in data) // 200_000)
+    found = {(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in packing.pack(frame.repartition(5), open_bins=6, bucket_tokens=200_000).collect()}
+    total = 0
+    for bucket in range(buckets):
+        own = sorted((r for r in draws if r.draw % buckets == bucket), key=lambda r: (r.draw, r.doc_id, r.piece))
+        places, closed = online([r.length for r in own], 1024, 6)
+        total += closed
+        assert [found[r.doc_id, r.piece] for r in own] == [((bucket << 32) | number, offset) for number, offset in places]
+    assert total > 20
 
 
 def test_fullest_bin_closes_first():
