@@ -482,6 +482,7 @@ def oracle_sql() -> dict[str, str]:
         "silhouette_cosine": f"{pairs_1cos}, {STANDARD} SELECT eid, label, {_r('silhouette')} FROM sil",
         "silhouette_sqeuclidean": f"{pairs_sq}, {STANDARD} SELECT eid, label, {_r('silhouette')} FROM sil",
         "silhouette_euclidean": f"{pairs_euc}, {STANDARD} SELECT eid, label, {_r('silhouette')} FROM sil",
+        "silhouette_estimated": f"{pairs_euc}, {STANDARD} SELECT eid, label, {_r('silhouette')}, 0.0::DOUBLE AS error FROM sil",
         "silhouette_bands": f"{pairs_1cos}, {STANDARD} SELECT eid, label, {_r('silhouette')}, "
         "CAST(row_number() OVER (ORDER BY label, round(silhouette, 12), eid) - 1 + 10 * dense_rank() OVER (ORDER BY label) AS BIGINT) AS y FROM sil",
         "grid_accepted": _with(GRID)

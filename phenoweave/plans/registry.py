@@ -516,6 +516,12 @@ def bkm_sweep(spark, d):
     return clusters.error_by_k(_vectors(spark, d))
 
 
+def bkm_tree(spark, d):
+    """Labels at the largest k of the sweep, from the same tree."""
+    vectors = _vectors(spark, d)
+    return clusters.split_tree(vectors).labels(vectors, max(clusters.SWEEP))
+
+
 def pca_project(spark, d):
     vectors = _vectors(spark, d)
     labels = clusters.assignments(clusters.bisecting_kmeans(vectors), vectors)
@@ -585,6 +591,12 @@ def silhouette_euclidean(spark, d):
     return rounded(_scores(spark, d, quality.silhouette_persons, metric="euclidean"), "silhouette")
 
 
+def silhouette_estimated(spark, d):
+    """Euclidean silhouette of every person, exact where no cluster has more persons than the sample."""
+    scored = _scores(spark, d, quality.silhouette_estimated)
+    return rounded(scored, "silhouette", "error")
+
+
 def silhouette_bands(spark, d):
     persons = _scores(spark, d, quality.silhouette_persons, metric="cosine")
     return rounded(sweeps.silhouette_bands(persons), "silhouette")
@@ -727,6 +739,7 @@ ALL: tuple[Query, ...] = (
     bkm_assign,
     bkm_cost,
     bkm_sweep,
+    bkm_tree,
     pca_project,
     svd_project,
     stanmf_dissimilarity,
@@ -739,6 +752,7 @@ ALL: tuple[Query, ...] = (
     silhouette_cosine,
     silhouette_sqeuclidean,
     silhouette_euclidean,
+    silhouette_estimated,
     silhouette_bands,
     silhouette_sampled,
     k_vs_silhouette,

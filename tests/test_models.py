@@ -245,6 +245,27 @@ def test_standard_silhouette(spark, random, metric, monkeypatch):
     assert [r["label"] for r in out] == labels.tolist()
 
 
+@pytest.mark.parametrize("persons", [4096, 9])
+def test_estimated_silhouette(spark, random, monkeypatch, persons):
+    """Exact where clusters are taken whole; from samples the errors tell how far scores are off; nobody is left out."""
+    monkeypatch.setattr(blocks, "BLOCK_PERSONS", persons)
+    a = np.vstack([random, random[::-1] + 0.3])
+    a[7] = 0
+    labels = np.arange(80) % 3
+    labels[0] = 9
+    frame = spark.createDataFrame([(f"p{i:03d}", int(c)) for i, c in enumerate(labels)], "eid string, label int")
+    exact = brute(a, labels, "euclidean")
+    out = quality.silhouette_estimated(to_entries(spark, a), frame).orderBy("eid").collect()
+    assert np.allclose([r["silhouette"] for r in out], exact) and max(r["error"] for r in out) == 0
+    part = quality.silhouette_estimated(to_entries(spark, a), frame, per_cluster=12).orderBy("eid").collect()
+    assert [r["label"] for r in part] == labels.tolist()
+    off = np.array([r["silhouette"] for r in part]) - exact
+    errors = np.array([r["error"] for r in part])
+    assert off.any() and np.mean(np.abs(off) <= 2.5 * errors + 1e-12) > 0.85 and errors.max() < 0.3
+    one = quality.silhouette_estimated(to_entries(spark, a), frame.withColumn("label", F.lit(1))).collect()
+    assert len(one) == 80 and all(r["silhouette"] is None for r in one)
+
+
 def test_cosine_score(spark, random):
     labels = np.arange(40) % 3
     frame = spark.createDataFrame([(f"p{i:03d}", int(c)) for i, c in enumerate(labels)], "eid string, label int")
@@ -459,6 +480,28 @@ def test_bisecting_kmeans(spark):
     assert table[1]["error"] < table[0]["error"]
 
 
+def test_split_tree(spark):
+    """Costs equal squared distances recomputed from the labels, never grow with k, and clusters of all k are nested."""
+    rng = np.random.default_rng(3)
+    a = np.vstack([rng.normal(c, 0.3, (n, 3)) for c, n in (((0, 0, 0), 40), ((5, 5, 1), 20), ((9, 0, 4), 12), ((-4, 6, 2), 8))])
+    vectors = features.to_vectors(to_entries(spark, a)).repartition(3)
+    tree = clusters.split_tree(vectors, 9)
+    before, errors = None, []
+    for k in range(1, 10):
+        labels = np.array([r["label"] for r in tree.labels(vectors, k).orderBy("eid").collect()])
+        assert sorted(set(labels)) == list(range(k))
+        errors.append(sum(((a[labels == c] - a[labels == c].mean(0)) ** 2).sum() for c in range(k)))
+        assert tree.error(k) == pytest.approx(errors[-1])
+        if before is not None:
+            assert sum(len(set(labels[before == c])) for c in set(before)) == k
+            split = [c for c in set(before) if len(set(labels[before == c])) == 2]
+            assert (before == split[0]).sum() == max((before == c).sum() for c in set(before))
+        before = labels
+    assert errors == sorted(errors, reverse=True) and errors[3] < 0.05 * errors[0]
+    same = spark.createDataFrame([(f"p{i}", "f", 2.0) for i in range(5)], ENTRY)
+    assert [r["error"] for r in clusters.error_by_k(features.to_vectors(same), (2, 4)).collect()] == [0.0, 0.0]
+
+
 def test_searches_run(spark, random):
     entries = to_entries(spark, random)
     assert sweeps.optimal_k(entries, (2, 3), max_iter=2).count() == 1
