@@ -21,8 +21,9 @@ from phenoweave.operators.matrix import Matrix
 from phenoweave.operators.sizing import partitions_for
 from phenoweave.session import ship_package, stored
 
-#: About so many persons, and at most about so many entries, make a block.
-BLOCK_PERSONS, BLOCK_ENTRIES = 4096, 1 << 19
+#: About so many persons, and at most about so many entries, make a block. Where less than FULL_WIDTH
+#: columns stand beside it, it takes more persons in proportion, up to WIDER times as many.
+BLOCK_PERSONS, BLOCK_ENTRIES, FULL_WIDTH, WIDER = 4096, 1 << 19, 512, 16
 #: Up to so many cells, or DENSE_SHARE cells per entry, a block is multiplied as a dense matrix.
 DENSE_CELLS, DENSE_SHARE = 1 << 18, 8
 #: Numbers that a product over single entries holds at a time.
@@ -102,24 +103,28 @@ class Rows:
         return out
 
 
-def lay_out(m: Matrix) -> Blocks:
-    """Pack the held entries into blocks; the number of blocks follows from the persons and entries only."""
+def lay_out(m: Matrix, width: int = FULL_WIDTH) -> Blocks:
+    """Pack the held entries into blocks that are multiplied with ``width`` columns at a time.
+
+    The number of blocks follows from that width and from the persons and entries only.
+    """
     spark = m.spark
     ship_package(spark)
     names = sorted(r[0] for r in m.entries.select("featureName").distinct().collect())  # the caller has bounded them
     persons = m.entries.select(PERSON).distinct().count()
-    count = max(1, math.ceil(persons / BLOCK_PERSONS), math.ceil(m.nonzeros / BLOCK_ENTRIES))
+    own = BLOCK_PERSONS * max(1, min(WIDER, FULL_WIDTH // max(1, width)))
+    count = max(1, math.ceil(persons / own), math.ceil(m.nonzeros / BLOCK_ENTRIES))
     place = pd.Series(np.arange(len(names)), index=names)
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(column=place[frame["featureName"]].to_numpy(np.int32)).sort_values([PERSON, "column"])
-        own, starts = np.unique(frame[PERSON].to_numpy(), return_index=True)
+        found, starts = np.unique(frame[PERSON].to_numpy(), return_index=True)
         starts = np.append(starts, len(frame)).astype(np.int64)
         numbers = frame["value"].fillna(0.0).to_numpy(np.float64)
         return pd.DataFrame(
             {
                 "block": [key[0]],
-                "persons": [own.tolist()],
+                "persons": [found.tolist()],
                 "starts": [starts.tobytes()],
                 "columns": [frame["column"].to_numpy(np.int32).tobytes()],
                 "numbers": [numbers.tobytes()],

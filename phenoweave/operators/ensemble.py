@@ -183,6 +183,11 @@ def grouped(settings: list[Setting], columns: int = GROUP_COLUMNS) -> list[list[
     return groups
 
 
+def widest(settings: list[Setting], columns: int = GROUP_COLUMNS) -> int:
+    """Columns of the widest group."""
+    return max((len(g) * settings[g[0]].k for g in grouped(settings, columns)), default=1)
+
+
 def batches(settings: list[Setting], features: int) -> list[list[Setting]]:
     """Settings in runs whose feature factors can be broadcast together."""
     out, width = [], None
@@ -211,9 +216,9 @@ def factorize_all(
     """
     spark = m.spark
     ship_package(spark)
-    blocks = blocks or lay_out(m)
     groups = grouped(settings, columns)
     parts = [[settings[i] for i in group] for group in groups]
+    blocks = blocks or lay_out(m, widest(settings, columns))
     penalties = [(np.array([s.l1 for s in part]), np.array([s.l2 for s in part])) for part in parts]
     h = _feature_starts(blocks.names, parts, start)
     units = _units(blocks, parts, start)

@@ -35,7 +35,7 @@ from phenoweave.operators.matrix import (
     row_products,
 )
 from phenoweave.operators.blocks import lay_out
-from phenoweave.operators.ensemble import Ensemble, Rules, Setting, batches, factorize_all
+from phenoweave.operators.ensemble import Ensemble, Rules, Setting, batches, factorize_all, widest
 from phenoweave.operators.svd import truncated_svd
 from phenoweave.session import cut_lineage
 
@@ -346,7 +346,8 @@ def regularized_all(
     start = svd_start(m, max(k for k, _, _ in settings))
     start = cut_lineage(start[0]), cut_lineage(start[1])
     wanted = [Setting(k, alpha * ratio, alpha * (1 - ratio)) for k, alpha, ratio in settings]
-    rules, blocks, out, left = Rules("coordinate", max_iter, 0.0, relative_stop), lay_out(m), [], list(range(len(wanted)))
+    rules, out, left = Rules("coordinate", max_iter, 0.0, relative_stop), [], list(range(len(wanted)))
+    blocks = lay_out(m, widest(wanted))
     for batch in batches(wanted, m.features):
         places = []
         for setting in batch:  # equal settings are different rows of the result

@@ -249,6 +249,7 @@ def test_standard_silhouette(spark, random, metric, monkeypatch):
 def test_estimated_silhouette(spark, random, monkeypatch, persons):
     """Exact where clusters are taken whole; from samples the errors tell how far scores are off; nobody is left out."""
     monkeypatch.setattr(blocks, "BLOCK_PERSONS", persons)
+    monkeypatch.setattr(blocks, "WIDER", 1)
     a = np.vstack([random, random[::-1] + 0.3])
     a[7] = 0
     labels = np.arange(80) % 3
@@ -299,6 +300,7 @@ def test_dissimilarity(spark, random):
 def test_stability_equals_dense_runs(spark, random, monkeypatch, persons):
     """Every run, its errors, all pairs of runs and the pick, against plain numpy; in one block and in several."""
     monkeypatch.setattr(blocks, "BLOCK_PERSONS", persons)
+    monkeypatch.setattr(blocks, "WIDER", 1)
     monkeypatch.setattr(blocks, "FAN", 2)
     monkeypatch.setattr(ensemble, "GROUP_COLUMNS", 4)
     names, features_ = [f"p{i:03d}" for i in range(40)], [f"f{j:02d}" for j in range(9)]
@@ -348,6 +350,7 @@ def settled_rounds(v, k, alpha, ratio, share, most=200):
 def test_settings_equal_dense_descent(spark, random, monkeypatch, persons, share):
     """Rounds and factors of many settings in one run, against one dense descent each; in one block and in several."""
     monkeypatch.setattr(blocks, "BLOCK_PERSONS", persons)
+    monkeypatch.setattr(blocks, "WIDER", 1)
     entries = to_entries(spark, random)
     settings = [(k, a, r) for k in (2, 4) for a in (0.0, 0.3) for r in (0.0, 1.0)]
     with matrix.held(entries) as m:
@@ -416,6 +419,7 @@ def test_products_of_a_block(random, monkeypatch, cells, share):
 def test_blocks_and_carried_entries_change_no_number(spark, random, monkeypatch):
     """Entries that travel with a wide factor, entries that stay, and another number of partitions: the very same numbers."""
     monkeypatch.setattr(blocks, "BLOCK_PERSONS", 6)
+    monkeypatch.setattr(blocks, "WIDER", 1)
     settings = [ensemble.Setting(2, seed=1), ensemble.Setting(2, seed=2)]
     rules = ensemble.Rules("multiplicative", 4, 0.0, None)
     out = []
@@ -497,7 +501,7 @@ def test_split_tree(spark):
             split = [c for c in set(before) if len(set(labels[before == c])) == 2]
             assert (before == split[0]).sum() == max((before == c).sum() for c in set(before))
         before = labels
-    assert errors == sorted(errors, reverse=True) and errors[3] < 0.05 * errors[0]
+    assert errors == sorted(errors, reverse=True) and errors[-1] < 0.1 * errors[0]
     same = spark.createDataFrame([(f"p{i}", "f", 2.0) for i in range(5)], ENTRY)
     assert [r["error"] for r in clusters.error_by_k(features.to_vectors(same), (2, 4)).collect()] == [0.0, 0.0]
 
