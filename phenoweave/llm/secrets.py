@@ -106,9 +106,11 @@ class Ledger:
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """``blob, kind, place, start, end``: code points, end exclusive; ``place`` numbers kinds as listed."""
         hits = self.entries().select("blob", F.explode("hits").alias("hit")).where(F.col("hit.rule").isin([r.key for r in rules]))
+        # Two scans at one time may both have entered a blob; one entry of a blob and rule counts.
+        hits = hits.groupBy("blob", F.col("hit.rule").alias("rule")).agg(F.first("hit").alias("hit"))
         each = hits.select(
             "blob",
-            F.col("hit.rule").alias("rule"),
+            "rule",
             F.posexplode(F.arrays_zip(F.slice("hit.gaps", F.lit(1), F.size("hit.lengths")).alias("gap"), F.col("hit.lengths").alias("length"), F.col("hit.found").alias("found"))),
         )
         upto = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -125,7 +127,8 @@ def find_secrets(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULE
 
     A null text counts as empty and has none; repeated rows stay repeated; other
     columns are ignored. Findings are gathered once per blob and joined to all
-    rows that hold it.
+    rows that hold it. Texts of any length are scanned whole, an empty table gives
+    an empty one.
     """
     ledger.scan(docs, rules)
     grouped = ledger.findings(rules).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "place", "end", "kind"))).alias("secrets"))

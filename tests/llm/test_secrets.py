@@ -65,3 +65,12 @@ def test_redaction_merges_overlaps_and_keeps_columns(spark, ledger, edge):
 def test_no_python_in_the_plan(spark, ledger, edge):
     plan = secrets.find_secrets(edge.select("doc_id", "text"), ledger)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("ExistingRDD", ""))
+
+
+def test_a_blob_entered_twice_counts_once(spark, ledger):
+    """Two scans at one time may both find a blob unseen; positions and findings stay those of one entry."""
+    docs = spark.createDataFrame([(1, TEXT), (2, "plain")], "doc_id long, text string")
+    once = sorted(secrets.find_secrets(docs, ledger).collect(), key=repr)
+    ledger.entries().write.mode("append").parquet(str(ledger.path) + "-again")
+    spark.read.parquet(str(ledger.path) + "-again").write.mode("append").parquet(ledger.path)
+    assert sorted(secrets.find_secrets(docs, ledger).collect(), key=repr) == once
