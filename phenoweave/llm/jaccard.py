@@ -398,7 +398,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     both. ``component_id`` is the least id reachable over links. A row without
     words is linked with nothing and its own component; equal sets are one class
     and travel once; rows without id keep their count but join no class and have no
-    component. Repeated rows stay; other columns are ignored.
+    component. Repeated rows stay; other columns are ignored. Texts of any length
+    count whole, an empty table gives an empty one.
     """
     ship_package(docs.sparkSession)
     profile = stored(_profile(docs), "profile")

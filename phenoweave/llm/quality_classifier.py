@@ -173,7 +173,8 @@ def quality(docs: DataFrame, ensemble: Ensemble) -> DataFrame:
     """The rows with ``quality_score``, 0 to 1, of label 1; a null text counts as empty, repeated rows stay.
 
     All columns are kept; one with the new name is replaced. The score is one
-    expression over statistics, without user functions.
+    expression over statistics, without user functions. Texts of any length are
+    measured whole, an empty table stays empty.
     """
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
     rows, _ = statistics(packed)

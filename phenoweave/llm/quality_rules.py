@@ -163,7 +163,8 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     Columns of the input whose names clash with the measures are replaced. The
     base is fewer than 50 words or more than half of the words in repeated
     three-word windows; a row is kept if it fails neither the base nor a rule.
-    Rows repeat as they do in the input, and an empty table stays empty.
+    Rows repeat as they do in the input, texts of any length are measured whole,
+    and an empty table stays empty.
     """
     plain = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

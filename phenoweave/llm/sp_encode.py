@@ -186,7 +186,10 @@ def codec(path: str) -> MergeCodec:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids`` of every row. A null or empty text has no ids; repeated rows stay; other columns are ignored."""
+    """``doc_id, ids`` of every row. A null or empty text has no ids; repeated rows stay; other columns are ignored.
+
+    Texts of any length are encoded whole, an empty table stays empty.
+    """
     ship_package(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

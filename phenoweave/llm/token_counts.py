@@ -101,7 +101,8 @@ def token_counts(docs: DataFrame, path: str, pattern: str, specials: tuple[str,
     (row, pre-token, frequency), are encoded once per distinct pre-token, and
     are joined back and summed. No ids are kept. Special strings count as one
     token each. A null text counts as empty; repeated rows are counted each on
-    their own; other columns are ignored; an empty table gives an empty one.
+    their own; other columns are ignored; texts of any length count whole, an
+    empty table gives an empty one.
     """
     spark = docs.sparkSession
     ship_package(spark)

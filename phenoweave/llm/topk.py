@@ -97,7 +97,8 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
 
     Both sides are ``id, vector`` of whole numbers. A candidate with the query's id is
     left out; a repeated query id is answered once, for its least vector, and
-    repeated candidates count each. Only vectors of equal length are compared.
+    repeated candidates count each. Only vectors of equal length are compared;
+    where a side is empty there are no rows.
 
     Queries, in slots, meet candidates, in groups, so that a task holds a part of
     either. Every pass scores all pairs and sends on, per query and task, a
