@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from phenoweave.llm import jaccard, langid, packing, quality_classifier, secrets
 from phenoweave.llm.common import held_out, sized_join
 from phenoweave.llm.queries import CAPACITY, pieces_of, table
-from phenoweave.session import shared_folder
+from phenoweave.session import shared_folder, stored
 
-#: Least score of label 1, and of the likeliest language, with which a document stays.
-LEAST_QUALITY, LEAST_LANGUAGE = 0.7, 0.5
+#: Least score of label 1 with which a document stays.
+LEAST_QUALITY = 0.7
+#: Least share of the likeliest language among all, and least likeness to it.
+LEAST_LANGUAGE, LEAST_LIKENESS = 0.5, 0.0
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,25 +30,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learnt; a text without letters, or between languages, goes."""
+    """Documents in a language that was learnt; a text without letters, between languages or like none of them goes."""
     model = langid.learn(docs, public_tokenizers.path("piece_bpe_32k.model"), ~held_out("doc_id", 4, 2))
     named = langid.identify(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model)
-    kept = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)
+    kept = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE) & (F.col("likeness") >= LEAST_LIKENESS)
     return named.where(kept).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every component of similar ones.
+    """Of every component of similar texts the row of least id, one without id last; all other rows stay.
 
-    Rows that share an id are one document, of which the least row stays; rows
-    without id are compared with nothing and stay.
+    Rows are told apart by a number of their own, so rows that share an id are
+    judged each by its text, and a row without text, which is similar to nothing,
+    never stands for one with text.
     """
-    found = jaccard.similar_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = sized_join(docs, gone, "doc_id", "left_anti")
-    once = sized_join(kept, repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return sized_join(kept, repeated, "doc_id", "left_anti").select(*docs.columns).union(once.select("row.*"))
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard.similar_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    grouped = found.join(found.where("_row <> component_id").select("component_id").distinct(), "component_id", "left_semi")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    ids = sized_join(rows.select("_row", "doc_id"), stored(grouped, "grouped"), "_row", "inner")
+    kept = ids.groupBy("component_id").agg(F.min(order).alias("least")).select("component_id", F.col("least._row").alias("_kept"))
+    gone = stored(sized_join(ids, kept, "component_id", "inner").where("_row <> _kept").select("_row"), "gone")
+    return sized_join(rows, gone, "_row", "left_anti").select(*docs.columns)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
