@@ -416,6 +416,43 @@ def test_products_of_a_block(random, monkeypatch, cells, share):
     assert np.allclose(np.linalg.norm(rows_.unit().times(np.eye(9)), axis=1), 1)
 
 
+@pytest.mark.parametrize("different", [1, 300, 1 << 17])
+def test_numbers_of_a_block_are_packed_without_loss(different):
+    numbers = np.random.default_rng(1).permutation(np.arange(1 << 17) % different) / 7 - 3
+    numbers[:2] = 0.0, -0.0
+    packed = blocks._packed(numbers)
+    assert blocks._unpacked(packed).tobytes() == numbers.tobytes()
+    assert len(packed) <= 8 + numbers.nbytes and (different > 300 or 3 * len(packed) < numbers.nbytes)
+
+
+def test_rounds_hand_over_one_unit_at_a_time(spark, random, monkeypatch):
+    """A unit is as large as a block's part of 512 columns; tasks must not gather theirs, and settings come back."""
+    monkeypatch.setattr(blocks, "BLOCK_PERSONS", 5)
+    monkeypatch.setattr(blocks, "WIDER", 1)
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.enableVectorizedReader"]
+    before = [spark.conf.get(n) for n in names]
+    real = ensemble._step
+
+    def step(*options):
+        run = real(*options)
+
+        def checked(frames):
+            def single():
+                for frame in frames:
+                    assert len(frame) <= 1, "units gathered"
+                    yield frame
+
+            yield from run(single())
+
+        return checked
+
+    monkeypatch.setattr(ensemble, "_step", step)
+    with matrix.held(to_entries(spark, random)) as m:
+        e = ensemble.factorize_all(m, [ensemble.Setting(2, seed=s) for s in range(6)], ensemble.Rules("multiplicative", 2, 0.0, None), columns=2)
+        assert e.blocks.count > 4 and len(e.groups) == 6
+    assert [spark.conf.get(n) for n in names] == before
+
+
 def test_blocks_and_carried_entries_change_no_number(spark, random, monkeypatch):
     """Entries that travel with a wide factor, entries that stay, and another number of partitions: the very same numbers."""
     monkeypatch.setattr(blocks, "BLOCK_PERSONS", 6)
