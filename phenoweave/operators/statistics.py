@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from phenoweave.functions.names import PERSON
@@ -9,6 +11,8 @@ from phenoweave.operators.setops import bag_union
 from phenoweave.session import cut_lineage
 
 RARE_SHARE = 0.01
+#: The rows of about so many persons are told apart by one task.
+PERSONS_PER_TASK = 10_000
 
 
 def population(raw: DataFrame) -> DataFrame:
@@ -16,14 +20,25 @@ def population(raw: DataFrame) -> DataFrame:
     return raw.agg(F.countDistinct(PERSON).alias("population"))
 
 
-def feature_summary(tall: DataFrame) -> DataFrame:
+def dealt(tall: DataFrame, persons: int) -> DataFrame:
+    """Rows of one feature and person together, in as many parts as ``persons`` ask for.
+
+    Most rows have a feature and person of their own, so combining them before
+    the shuffle saves little and holds all groups of a mapper; dealt out first,
+    a task holds a bounded share of them, however large the table is.
+    """
+    parts = max(tall.sparkSession.sparkContext.defaultParallelism, math.ceil(persons / PERSONS_PER_TASK))
+    return tall.select("category", "featureName", PERSON).repartition(parts, "category", "featureName", PERSON)
+
+
+def feature_summary(tall: DataFrame, persons: int = 0) -> DataFrame:
     """``category, featureName, rows, persons``; the base of all the counts below.
 
-    Grouping by person first lets every mapper combine its own rows, so a
-    feature that most persons hold is spread over all tasks.
+    Grouping by person first spreads a feature that most of the ``persons``,
+    if that many are known of, hold over all tasks.
     """
     return (
-        tall.groupBy("category", "featureName", PERSON)
+        dealt(tall, persons).groupBy("category", "featureName", PERSON)
         .agg(F.count("*").alias("n"))
         .groupBy("category", "featureName")
         .agg(F.sum("n").alias("rows"), F.count("*").alias("persons"))
@@ -59,13 +74,14 @@ def percent_negative(tall: DataFrame) -> DataFrame:
 
 def percent_rare(tall: DataFrame, raw: DataFrame, threshold: float = RARE_SHARE) -> DataFrame:
     """Share of a category's features held by fewer than ``threshold`` of all persons."""
-    holders = tall.select("category", "featureName", PERSON).distinct()
+    every = population(raw).first()[0]
+    holders = dealt(tall, every).distinct()
     persons = holders.groupBy("category", "featureName").agg(F.count("*").alias("persons"))
-    return _rare(persons, raw, threshold)
+    return _rare(persons, every, threshold)
 
 
-def _rare(summary: DataFrame, raw: DataFrame, threshold: float) -> DataFrame:
-    limit = population(raw).scalar() * F.lit(threshold)
+def _rare(summary: DataFrame, persons: int, threshold: float) -> DataFrame:
+    limit = F.lit(persons) * F.lit(threshold)
     return summary.groupBy("category").agg(
         (F.avg((F.col("persons") < limit).cast("double")) * 100).alias("pct_rare")
     )
@@ -84,7 +100,8 @@ def statistics_report(
     ``typed`` are the long rows before the positive filter, ``tall`` the clean
     ones. The clean table is read once; everything else works on its summary.
     """
-    summary = cut_lineage(feature_summary(tall))
+    persons = population(raw).first()[0]
+    summary = cut_lineage(feature_summary(tall, persons))
     top = rank_counts(summary, "category", top_n)
     if top_categories is not None:
         top = top.where(F.col("category").isin(*top_categories))
@@ -111,5 +128,5 @@ def statistics_report(
             F.col("rows"),
         ),
         rows(percent_negative(typed), F.lit("pct_negative"), category, none, F.col("pct_negative")),
-        rows(_rare(summary, raw, threshold), F.lit("pct_rare"), category, none, F.col("pct_rare")),
+        rows(_rare(summary, persons, threshold), F.lit("pct_rare"), category, none, F.col("pct_rare")),
     )

@@ -217,3 +217,14 @@ def test_info_table_keeps_fields_apart(spark, rows):
         [("A", "1", "7", "seven"), ("B", "2", "7", "other")], "category string, field string, code string, meaning string"
     )
     assert rows(components.info_table(w, meanings)) == [(0, "A", "seven", 0.5), (1, "B", "other", 0.3)]
+
+
+def test_summary_is_dealt_by_persons(spark, monkeypatch):
+    """Groups of a feature and person are spread by the number of persons, with no map of all of a mapper's groups before."""
+    monkeypatch.setattr(statistics, "PERSONS_PER_TASK", 2)
+    data = spark.createDataFrame([("a", f"f{i % 3}", f"p{i % 40}") for i in range(240)], "category string, featureName string, eid string")
+    assert statistics.dealt(data, 40).rdd.getNumPartitions() == 20
+    plan = statistics.feature_summary(data, 40)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1
+    got = {r["featureName"]: (r["rows"], r["persons"]) for r in statistics.feature_summary(data, 40).collect()}
+    assert got == {f"f{i}": (80, 40) for i in range(3)}
