@@ -228,3 +228,19 @@ def test_summary_is_dealt_by_persons(spark, monkeypatch):
     assert plan.count("REPARTITION_BY_NUM") == 1
     got = {r["featureName"]: (r["rows"], r["persons"]) for r in statistics.feature_summary(data, 40).collect()}
     assert got == {f"f{i}": (80, 40) for i in range(3)}
+
+
+def test_index_reads_entries_once(spark, monkeypatch):
+    """What the entries are made of runs once, for the numbers and for the join."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            ran.add(len(frame))
+            yield frame
+
+    schema = "eid string, featureName string, value double"
+    made = spark.createDataFrame([(f"p{i}", f"f{i % 4}", float(i)) for i in range(12)], schema).mapInPandas(counted, schema)
+    got = {(r["eid"], r["feature"], r["value"]) for r in features.indexed_entries(made).collect()}
+    assert got == {(f"p{i}", i % 4, float(i)) for i in range(12)} and ran.value == 12
+    assert features.to_vectors(made).count() == 12 and ran.value == 24
