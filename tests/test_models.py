@@ -245,6 +245,31 @@ def test_standard_silhouette(spark, random, metric, monkeypatch):
     assert [r["label"] for r in out] == labels.tolist()
 
 
+def test_euclidean_silhouette_meets_whole_blocks(spark, random, monkeypatch):
+    """Persons without entries, without label and of several blocks; nobody travels once per block."""
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(quality, "TILE", (3, 4))
+    a = random.copy()
+    a[5] = 0
+    labels = np.arange(40) % 3
+    named = [(f"p{i:03d}", None if i == 8 else int(c)) for i, c in enumerate(labels)]
+    frame = spark.createDataFrame(named, "eid string, label int")
+    out = {r["eid"]: r["silhouette"] for r in quality.silhouette_persons(to_entries(spark, a), frame, "euclidean").collect()}
+    kept = np.arange(40) != 8
+    expected = brute(a[kept], labels[kept], "euclidean")
+    assert out.pop("p008") is None and np.allclose([out[p] for p in sorted(out)], expected)
+    monkeypatch.setattr(quality, "DENSE_FEATURES", 2)
+    rows_ = {r["eid"]: r["silhouette"] for r in quality.silhouette_persons(to_entries(spark, a), frame, "euclidean").collect()}
+    assert rows_.pop("p008") is None and np.allclose([rows_[p] for p in sorted(out)], [out[p] for p in sorted(out)])
+
+    def refused(*_):
+        raise AssertionError("every row sent to every block")
+
+    monkeypatch.setattr(quality, "DENSE_FEATURES", 2048)
+    monkeypatch.setattr(quality, "_between_rows", refused)
+    assert quality.silhouette_persons(to_entries(spark, a), frame, "euclidean").count() == 40
+
+
 @pytest.mark.parametrize("persons", [4096, 9])
 def test_estimated_silhouette(spark, random, monkeypatch, persons):
     """Exact where clusters are taken whole; from samples the errors tell how far scores are off; nobody is left out."""
