@@ -599,3 +599,27 @@ def test_singular_vectors_that_do_not_settle_are_an_error(spark, random, monkeyp
     monkeypatch.setattr(svd, "EXACT_FEATURES", 0)
     with matrix.held(to_entries(spark, random)) as m, pytest.raises(RuntimeError):
         svd.truncated_svd(m, 2, oversample=0, max_iter=2)
+
+
+def test_kept_units_and_rounds_as_jobs_are_the_same_numbers(spark, random, monkeypatch):
+    """Units that tasks keep through all rounds, in one stage or in several, and rounds as jobs; settings end at different rounds."""
+    monkeypatch.setattr(blocks, "BLOCK_PERSONS", 6)
+    monkeypatch.setattr(blocks, "WIDER", 1)
+    settings = [ensemble.Setting(k, l1=k / 4, seed=s) for k in (2, 3) for s in range(3)]
+    rules = ensemble.Rules("coordinate", 12, 0.0, 0.02)
+    jobs, real = [], ensemble._by_rounds
+    monkeypatch.setattr(ensemble, "_by_rounds", lambda *a: jobs.append(1) or real(*a))
+    out = []
+    with matrix.held(to_entries(spark, random)) as m:
+        laid = blocks.lay_out(m)
+        assert laid.count > 3
+        for held, exchanged in ((256 << 20, 16 << 20), (256 << 20, 8 * (9 * 4 + 8 + 2) * laid.count), (0, 16 << 20)):
+            monkeypatch.setattr(ensemble, "HELD_BYTES", held)
+            monkeypatch.setattr(ensemble, "EXCHANGED_BYTES", exchanged)
+            e = ensemble.factorize_all(m, settings, rules, None, laid, columns=4)
+            assert len(jobs) == (held == 0) and len(e.groups) == 5
+            out.append(([e.weights(i) for i in range(6)], [dense(e.person_factor([i]), "eid", "w") for i in range(6)], e.errors))
+    assert len({len(x) for x in out[0][2]}) > 1
+    for other in out[1:]:
+        assert all(np.array_equal(a, b) for part in (0, 1) for a, b in zip(out[0][part], other[part], strict=True))
+        assert out[0][2] == other[2]
