@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenoweave.llm.common import hash_sample, held_out, sized_join
 from phenoweave.llm.quality_rules import MEASURES, measured
+from phenoweave.session import ship_package
 
 #: Labelled documents, about, that the ensemble is fitted on.
 SAMPLE_ROWS = 20_000
@@ -165,8 +169,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, folds: int = 4, kept:
     known = labels.where(F.col(label).isNotNull() & ~held_out("doc_id", folds, kept)).groupBy("doc_id").agg(F.max(label).cast("double").alias("_label"))
     rows = sized_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), hash_sample(known, "doc_id", limit), "doc_id", "inner")
     found, names = statistics(rows)
-    frame = found.select("_label", *names, F.xxhash64("doc_id").alias("_order")).toPandas().sort_values(["_order", *names])
-    return fit(frame[list(names)].to_numpy(float), (frame["_label"].to_numpy(float) > 0).astype(float), names)
+    ship_package(docs.sparkSession)
+
+    def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(frames)
+        if parts:
+            frame = pd.concat(parts).sort_values(["_order", *names])
+            ensemble = fit(frame[list(names)].to_numpy(float), (frame["_label"].to_numpy(float) > 0).astype(float), names)
+            yield pd.DataFrame({"model": [pickle.dumps(ensemble)]})
+
+    # One task fits the sample, which is bounded; the driver gets the rules alone.
+    sample = found.select("_label", *names, F.xxhash64("doc_id").alias("_order"))
+    made = sample.repartition(1).mapInPandas(fitted, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit(np.empty((0, len(names))), np.empty(0), names)
 
 
 def quality(docs: DataFrame, ensemble: Ensemble) -> DataFrame:

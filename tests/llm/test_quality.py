@@ -1,3 +1,4 @@
+import os
 import re
 import zlib
 from collections import Counter
@@ -109,3 +110,19 @@ def test_edge_rows_and_missing_labels(edge, labels):
     scored = quality_classifier.quality(edge, found)
     assert scored.count() == edge.count() and scored.where("quality_score between 0 and 1").count() == edge.count()
     assert quality_classifier.quality(edge.limit(0), found).count() == 0
+
+
+def test_the_ensemble_is_fitted_in_a_task(documents, monkeypatch):
+    """The driver gets the rules alone, not the sample or the matrix of rules."""
+    real = quality_classifier.fit
+
+    def spied(x, y, names):
+        ensemble = real(x, y, names)
+        ensemble.process, ensemble.seen = os.getpid(), len(y)
+        return ensemble
+
+    monkeypatch.setattr(quality_classifier, "fit", spied)
+    labels = documents.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 2).cast("int").alias("quality")).distinct()
+    learnt = quality_classifier.learn(documents, labels, "quality")
+    assert learnt.seen > 0 and learnt.process != os.getpid()
+    assert isinstance(quality_classifier.learn(documents.limit(0), labels, "quality").intercept, float)
