@@ -623,3 +623,33 @@ def test_kept_units_and_rounds_as_jobs_are_the_same_numbers(spark, random, monke
     for other in out[1:]:
         assert all(np.array_equal(a, b) for part in (0, 1) for a, b in zip(out[0][part], other[part], strict=True))
         assert out[0][2] == other[2]
+
+
+def test_dense_units_of_many_persons_are_kept():
+    """5.4 million persons of 31 features, 25 entries each, are 1.3 GB as dense blocks: twelve tasks of 256 MB keep them."""
+    laid = blocks.Blocks(None, 258, 5_400_000, [f"f{i}" for i in range(31)], 1.0, 25.0)
+    assert ensemble._kept_together(laid, [np.zeros((1, 31, 3))], 12) == [[0]]
+    assert ensemble._kept_together(laid, [np.zeros((1, 31, 3))], 5) == []
+
+
+def test_factorization_in_blocks_lays_nothing_out_by_person(spark, random, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_PERSONS", 6)
+    monkeypatch.setattr(blocks, "WIDER", 1)
+    with matrix.held(to_entries(spark, random)) as m:
+        nmf.factorize_held(m, 2, max_iter=2)
+        assert m.laid is None
+        first = matrix.feature_gram(m)
+        assert m.laid is not None and matrix.feature_gram(m) is first
+        assert np.allclose(first[1], random.T @ random)
+
+
+def test_blocks_hold_every_entry(spark, monkeypatch):
+    """Persons in the order of their names, entries by feature, undefined values as zeros, squares added up."""
+    rows = [("ä", "g", 2.0), ("b", "f", None), ("b", "g", float("nan")), ("10", "h", 4.0), ("9", "f", 1.0), ("b", "h", 3.0), ("10", "f", 0.5)]
+    with matrix.held(spark.createDataFrame(rows, ENTRY)) as m:
+        laid = blocks.lay_out(m)
+    block = laid.table.first()
+    assert laid.count == 1 and laid.names == ["f", "g", "h"] and laid.squares == block.squares == 30.25
+    assert block.persons == ["10", "9", "b", "ä"]
+    held = blocks.Rows.of(block.starts, block.columns, block.numbers, 3)
+    assert np.array_equal(held.times(np.eye(3)), [[0.5, 0, 4], [1, 0, 0], [0, 0, 3], [0, 2, 0]])
