@@ -653,3 +653,22 @@ def test_blocks_hold_every_entry(spark, monkeypatch):
     assert block.persons == ["10", "9", "b", "ä"]
     held = blocks.Rows.of(block.starts, block.columns, block.numbers, 3)
     assert np.array_equal(held.times(np.eye(3)), [[0.5, 0, 4], [1, 0, 0], [0, 0, 3], [0, 2, 0]])
+
+
+@pytest.mark.parametrize("rows", [7, 8192])
+def test_coordinate_descent_in_parts_of_the_rows(rows, monkeypatch):
+    """Against a plain loop over settings, rows and columns; one column of the other factor is empty."""
+    monkeypatch.setattr(ensemble, "RENEWED_ROWS", rows, raising=False)
+    draw = np.random.default_rng(5)
+    x, product, other = draw.random((2, 40, 3)), draw.random((2, 40, 3)), draw.random((2, 9, 3))
+    other[1, :, 2] = 0
+    gram, l1, l2 = other.transpose(0, 2, 1) @ other, np.array([0.1, 0.0]), np.array([0.2, 0.0])
+    found, moved = ensemble._coordinate(x.copy(), product, gram, l1, l2)
+    expected, total = x.copy(), np.zeros(2)
+    for s in range(2):
+        for row, wanted in zip(expected[s], product[s], strict=True):
+            for t in range(3):
+                slope, curve = gram[s, t] @ row - wanted[t] + l1[s] + l2[s] * row[t], gram[s, t, t] + l2[s]
+                total[s] += abs(slope) if row[t] > 0 else abs(min(slope, 0.0))
+                row[t] = max(0.0, row[t] - slope / curve) if curve > 0 else row[t]
+    assert np.allclose(found, expected) and np.allclose(moved, total)
