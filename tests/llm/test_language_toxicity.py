@@ -251,3 +251,43 @@ def test_labels_that_are_learnt_from_by_default(spark, labels, monkeypatch):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     toxicity.learn(docs, labels.limit(0), "toxic", PATH)
     assert asked == [8000]
+
+
+def test_every_labelled_document_is_learnt_from(spark, monkeypatch):
+    """Beyond the first sample too: a word that stands in few documents is learnt, and in all shards; a small table is fitted as one."""
+    asked = []
+    learn = toxicity.langid.learn
+    monkeypatch.setattr(toxicity.langid, "learn", lambda docs, path, learnt, limit=1000: asked.append(limit) or learn(docs, path, learnt, limit))
+    rng, words = np.random.default_rng(6), "the of and to in is that it for was with house river green walking little".split()
+    rows = [(i, " ".join(rng.choice(words, 12)) + (f" zapword{i % 40}" if i % 4 == 0 else ""), "en") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1500)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, marks, "toxic", PATH, limit=150)
+    learnt = {r.doc_id: r.text for r in docs.where(~held_out("doc_id", 3, 1)).withColumn("h", F.xxhash64("doc_id")).collect() if r.h % toxicity.CALIBRATION_SHARE}
+    found, n = np.unique(np.concatenate([np.unique(toxicity.buckets_of(t)) for t in learnt.values()]), return_counts=True)
+    assert asked == [None] and np.array_equal(model.network.buckets, found[n >= toxicity.LEAST_DOCS])
+    got = toxicity.toxicity(docs, model).join(marks, "doc_id").where(held_out("doc_id", 3, 1)).collect()
+    assert np.mean([(r.toxicity_score >= 0.7) == (r.toxic == 1) for r in got]) > 0.95
+
+
+def test_languages_fitted_together_equal_fits_apart(documents):
+    apart, together = (langid.learn(documents, PATH, F.lit(True), limit) for limit in (10**6, None))
+    assert apart.languages == together.languages
+    assert np.allclose(apart.probabilities, together.probabilities, rtol=1e-9, atol=0) and np.allclose(apart.floors, together.floors)
+
+
+def test_thresholds_in_bins_equal_those_of_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    net = toxicity.Network.new(np.arange(50))
+    net.embedding[:50] = rng.standard_normal((50, toxicity.DIMENSIONS))
+    texts = [rng.integers(0, 50, (6, 2)).astype(np.int32) for _ in range(400)]
+    logits = net.logits(texts)
+    y = (logits + rng.standard_normal(400) * logits.std() > np.median(logits)).astype(float)
+    lang = np.array(["x", "y", "only", "x"])[rng.integers(0, 4, 400)]
+    y[lang == "only"] = 1.0
+    rows = spark.createDataFrame([(float(v), i, str(n), bytearray(t.tobytes())) for i, (v, n, t) in enumerate(zip(y, lang, texts, strict=True))], "y double, order long, lang string, words binary")
+    for bins in (64, 2):
+        monkeypatch.setattr(toxicity, "BINS", bins)
+        limits, common = toxicity._thresholds(rows, net)
+        assert limits == pytest.approx({n: toxicity._threshold(logits[lang == n], y[lang == n]) for n in ("x", "y")}, abs=1e-5)
+        assert common == pytest.approx(toxicity._threshold(logits, y), abs=1e-5)
