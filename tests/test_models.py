@@ -672,3 +672,37 @@ def test_coordinate_descent_in_parts_of_the_rows(rows, monkeypatch):
                 total[s] += abs(slope) if row[t] > 0 else abs(min(slope, 0.0))
                 row[t] = max(0.0, row[t] - slope / curve) if curve > 0 else row[t]
     assert np.allclose(found, expected) and np.allclose(moved, total)
+
+
+def test_settings_run_alone_with_all_entries(spark, monkeypatch):
+    """Runs and penalized settings in tasks of their own equal those of one barrier stage; where a setting is too wide they do not run alone."""
+    rng = np.random.default_rng(8)
+    cells = [(f"p{i:03d}", f"f{j}", float(rng.integers(1, 9))) for i in range(300) for j in range(12) if rng.random() < 0.6]
+    entries = spark.createDataFrame(cells, "eid string, featureName string, value double")
+    monkeypatch.setattr(blocks, "BLOCK_PERSONS", 32)
+    monkeypatch.setattr(blocks, "WIDER", 1)
+    monkeypatch.setattr(blocks, "TILE_CELLS", 64)
+    monkeypatch.setattr(blocks, "LEAST_TILE", 7)
+    monkeypatch.setattr(ensemble, "ALONE_COLUMNS", 1)
+    slots = ensemble._slots(spark)
+    alone = ensemble._alone
+    found, used = [], []
+    monkeypatch.setattr(ensemble, "_alone", lambda *a: used.append(1) or alone(*a))
+    with matrix.held(entries) as m:
+        laid = blocks.lay_out(m)
+        grid = [(k, float(a), 0.5) for k in (2, 3) for a in range(2 * slots)]
+        runs = [ensemble.Setting(k, seed=s) for k in (2, 3) for s in range(2 * slots)]
+        for most in (ensemble.ALONE_BYTES, 0):
+            monkeypatch.setattr(ensemble, "ALONE_BYTES", most)
+            drawn = ensemble.factorize_all(m, runs, ensemble.Rules("multiplicative", 6, 0.0, None), None, laid)
+            (given, places), = nmf.regularized_all(m, grid, max_iter=9)
+            assert laid.count > 1 and places == list(range(len(grid)))
+            w = {r["eid"]: r["w"] for r in given.person_factor([3]).collect()}
+            totals = ensemble.total_dissimilarities(drawn)
+            found.append((drawn.errors, [drawn.weights(i) for i in range(len(runs))], totals, given.errors, [given.weights(i) for i in range(len(grid))], w))
+    assert used == [1, 1]
+    one, other = found
+    assert one[5].keys() == other[5].keys() and all(np.allclose(v, other[5][p]) for p, v in one[5].items())
+    for a, b in zip(one[:2] + one[3:5], other[:2] + other[3:5], strict=True):
+        assert all(np.allclose(x, y) for x, y in zip(a, b, strict=True))
+    assert one[2] == pytest.approx(other[2])
